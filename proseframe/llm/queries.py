@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, mixing, splitting
+from . import langid, leakage, lookalike, mixing, splitting
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p5_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.with_consistent(_texts(spark, sf)).drop("text").dropDuplicates(["xml_part", "doc_id", "item_idx", "run_idx"])
 
 
+def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_leaks(spark, sf).select("doc_id", "item_id")
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     counts = mixing.token_counts(_read(spark, sf, "documents"))
     return mixing.mix_sources(counts, _read(spark, sf, "mix_targets"))
@@ -46,8 +54,22 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(p7_mix(spark, sf), _read(spark, sf, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _read(spark, sf, "documents")
+    return langid.unnamed_passages(documents, langid.train(documents))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _read(spark, sf, "documents")
+    return langid.segments(documents, langid.train(documents)).dropDuplicates(["doc_id", "seg_no"])
+
+
+def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.document_languages(p8_segments(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_consistent, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_consistent, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 ORACLE = {
