@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, leakage, lookalike, mixing, splitting
+from . import langid, leakage, lookalike, mixing, names, splitting
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return names.mention_groups(_read(spark, sf, "name_mentions"), _read(spark, sf, "synonym_dim"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.mention_pairs(p1_groups(spark, sf))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pieces = splitting.split_oversized(splitting.items_of(_read(spark, sf, "paragraphs"), _read(spark, sf, "context_cache")), _read(spark, sf, "size_limits"))
     return pieces.where("piece_no = 0 AND n_pieces > 1").select("item_kind", "owner_id", "item_idx").distinct()
@@ -69,7 +77,7 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_consistent, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_consistent, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 
 
 ORACLE = {
