@@ -58,7 +58,7 @@ SCALES = {"hundred": 1e2, "hundreds": 1e2, "thousand": 1e3, "thousands": 1e3, "l
 SHORT = {"'000": 1e3, "k": 1e3, "K": 1e3, "m": 1e6, "mn": 1e6, "mln": 1e6, "M": 1e6, "bn": 1e9, "bln": 1e9, "b": 1e9, "B": 1e9, "tn": 1e12, "L": 1e5, "lac": 1e5, "cr": 1e7, "Cr.": 1e7, "cr.": 1e7, "Cr": 1e7}
 UNITS_AS_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 LOOK_ALIKES = str.maketrans("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧονıɡ", "ABESIJKMHOPCTYXaesijopcyxhdABEZHIKMNOPTYXovig")
-GONE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁯︀-️﻿]")
+GONE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 MONEY = set("USD EUR GBP INR JPY AUD CNY BDT LKR NPR SGD".split())
 
 
