@@ -51,7 +51,7 @@ STOP, SEP = 0, 1  # ids of sentence ends and of the separator of texts
 def label_codes(label: Column) -> Column:
     """The ISO 639-1 codes that a label names: codes of two or three letters, with or without region, or English names; several by semicolons."""
     names = F.create_map(*[F.lit(x) for kv in CODE.items() for x in kv])
-    one = lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, r"[\s ]+", " "))), r"[-_].*$", "")
+    one = lambda x: F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, r"[\s\u00a0]+", " "))), r"[-_].*$", "")
     parts = F.transform(F.split(F.coalesce(label, F.lit("")), "[;,/|]"), lambda x: F.element_at(names, one(x)))
     return F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))
 

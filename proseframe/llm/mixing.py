@@ -32,7 +32,7 @@ DOCS_PER_BUCKET = 512
 
 def source_name(c: Column) -> Column:
     """One spelling of a source's name."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " "))), r"[ \-]+", "_")
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))), r"[ \-]+", "_")
 
 
 def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", max_text: int = 1 << 20) -> DataFrame:
