@@ -41,7 +41,7 @@ def with_sgd(text: Column, rates: Column) -> Column:
 
     def one(m: Column) -> Column:
         sign = F.upper(F.regexp_extract(m, rf"(?i)^({SIGN})", 1))
-        value = F.regexp_replace(F.regexp_extract(m, rf"({AMOUNT})", 1), ",", "").cast("decimal(20,6)")
+        value = F.regexp_replace(F.regexp_extract(m, rf"({AMOUNT})", 1), ",", "").try_cast("decimal(20,6)")
         rate = F.element_at(rates, F.element_at(code, sign))
         scale = F.lower(F.regexp_extract(m, r"(?i)(\s+(?:million|billion))$", 1))
         add = F.concat(F.lit(" (S$"), F.format_number(F.round(value * rate, 2), 2), F.regexp_replace(scale, r"^\s+", " "), F.lit(")"))

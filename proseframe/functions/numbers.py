@@ -71,7 +71,7 @@ def decimal_words(token: Column) -> Column:
     bare = F.regexp_replace(token, r"^[-−]", "")
     whole, part = F.split_part(bare, F.lit("."), F.lit(1)), F.split_part(bare, F.lit("."), F.lit(2))
     digits = F.transform(F.regexp_extract_all(part, F.lit(r"\d"), F.lit(0)), lambda d: _at(ONES, d.cast("int")))
-    return F.concat(F.when(token.rlike(r"^[-−]"), F.lit("minus ")).otherwise(F.lit("")), F.when(whole == "", F.lit("zero")).otherwise(int_words(whole.cast("long"))), F.lit(" point "), F.array_join(digits, " "))
+    return F.concat(F.when(token.rlike(r"^[-−]"), F.lit("minus ")).otherwise(F.lit("")), F.when(whole == "", F.lit("zero")).otherwise(int_words(whole.try_cast("long"))), F.lit(" point "), F.array_join(digits, " "))
 
 
 WORD_VALUES = {w: i for i, w in enumerate(ONES)} | {w: 10 * i for i, w in enumerate(TENS) if w}
@@ -164,7 +164,7 @@ def sentence_start_numbers(text: Column, style: str = "hyphen") -> Column:
     pattern = r"(?m)(?:^|(?<=[.!?])\s+)\d{1,3}(?:,\d{3})*(?![\d\p{L}_]|[.,]\d|\s*[-–%])"
 
     def say(m: Column) -> Column:
-        n = F.regexp_replace(F.trim(m), ",", "").cast("long")
+        n = F.regexp_replace(F.trim(m), ",", "").try_cast("long")
         w = int_words(n, style)
         return F.concat(F.regexp_extract(m, r"^(\s*)", 1), F.when(w == n.cast("string"), F.trim(m)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))))
 

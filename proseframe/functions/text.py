@@ -20,9 +20,9 @@ def lit_map(pairs: dict) -> Column:
 
 
 def replace_each(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
-    """The text with fn(match) for every match of the pattern; stays in the JVM."""
+    """The text with fn(match) for every match of the pattern, or the match itself where that is null; stays in the JVM."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(gaps, F.transform(found, fn), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, F.transform(found, lambda m: F.coalesce(fn(m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
 
 
 def outside(text: Column, protected: str, fn: Callable[[Column], Column]) -> Column:

@@ -93,8 +93,8 @@ def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: st
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))
 
     def piece(word: Column, i: Column) -> Column:
-        at = F.element_at(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 1)
-        shown = F.when(at["_whole"], F.when(at["nth"] == 1, word).otherwise(word)).when(i == at["pos"], F.when(at["nth"] == 1, F.concat(at["full"], F.lit(" ("), at["abbr"], F.lit(")"))).otherwise(at["abbr"])).otherwise(F.lit(""))
+        at = F.get(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 0)
+        shown = F.when(at["_whole"], word).when(i == at["pos"], F.when(at["nth"] == 1, F.concat(at["full"], F.lit(" ("), at["abbr"], F.lit(")"))).otherwise(at["abbr"])).otherwise(F.lit(""))
         gap = F.element_at(gaps, i + 1)
         inner = (i > at["pos"]) & ~at["_whole"]
         return F.concat(F.when(inner, F.lit("")).otherwise(gap), F.when(at.isNull(), word).otherwise(shown))
@@ -124,7 +124,7 @@ def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], t
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))
 
     def piece(word: Column, i: Column) -> Column:
-        at = F.element_at(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 1)
+        at = F.get(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 0)
         return F.when(at.isNull(), F.concat(F.element_at(gaps, i + 1), word)).when(i == at["pos"], F.concat(F.element_at(gaps, i + 1), at["entity"])).otherwise(F.lit(""))
 
     new = F.concat(F.array_join(F.transform(w, piece), ""), F.element_at(gaps, -1))

@@ -179,7 +179,7 @@ def _check(s: dict[str, np.ndarray], container: np.ndarray, partner: np.ndarray,
     lit = np.flatnonzero(kind == LITERAL)
     texts = [raw[a:b].tobytes() for a, b in zip(s["at"][lit], s["end"][lit])]
     fine = {t: t in (b"true", b"false", b"null") or _NUMBER.fullmatch(t) is not None for t in set(texts)}
-    wrong[lit] |= [not fine[t] for t in texts]
+    wrong[lit] |= np.array([not fine[t] for t in texts], bool)
     bad[row[wrong]] = True
     return bad
 

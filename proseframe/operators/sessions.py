@@ -85,7 +85,7 @@ def corrected_text(reply: Column) -> Column:
 
 def split_prompt(prompt: Column) -> Column:
     """The part of a prompt before Input text:, for the system's turn; a prompt without it loses its {text}."""
-    return F.when(prompt.contains("Input text:"), F.trim(F.split_part(prompt, F.lit("Input text:"), F.lit(1)))).otherwise(F.trim(F.replace(prompt, F.lit("{text}"), F.lit(""))))
+    return F.when(prompt.contains("Input text:"), F.regexp_replace(F.split_part(prompt, F.lit("Input text:"), F.lit(1)), r"^\s+|\s+$", "")).otherwise(F.trim(F.replace(prompt, F.lit("{text}"), F.lit(""))))
 
 
 def json_object(reply: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested, units
+from ..sources import docx
+from .base import RUNS, runs
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,5 +39,21 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     return _stated(spark, sf).select("figure_id", "series_id", "quantity_kind", "stated_number", "stated_unit", "canonical_unit", "value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p4_values)}
-ORACLE: dict[str, str] = {}
+def docx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as a Word file and read again, in memory, one document at a time: its runs, characters and references."""
+    r = runs(spark, sf, "text", "bold", "italic", "kind")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["para_idx", "run_idx"])
+        doc = pdf["doc_id"].iloc[0]
+        paras = [(None, [{"text": t, "bold": b is True, "italic": i is True, "note_ref": "1" if k == "footnote_ref" else None} for t, b, i, k in zip(g["text"], g["bold"].astype(object), g["italic"].astype(object), g["kind"])]) for _, g in pdf.groupby("para_idx", sort=True)]
+        back = list(docx.read_rows(doc, docx.container({"word/document.xml": docx.document_xml(paras).encode()}), "runs"))
+        return pd.DataFrame({"doc_id": [doc], "runs": [len(back)], "chars": [sum(len(x[3] or "") for x in back)], "refs": [sum(x[7] == "footnote_ref" for x in back)], "bold": [sum(x[4] is True for x in back)]})
+
+    return r.groupBy("doc_id").applyInPandas(one, "doc_id string, runs long, chars long, refs long, bold long")
+
+
+QUERIES = {f.__name__: f for f in (docx_roundtrip, p2_found, p2_nodes, p4_found, p4_values)}
+ORACLE: dict[str, str] = {
+    "docx_roundtrip": f"SELECT doc_id, count(*) AS runs, CAST(sum(CASE WHEN kind = 'footnote_ref' THEN 0 ELSE length(coalesce(text, '')) END) AS BIGINT) AS chars, count(*) FILTER (kind = 'footnote_ref') AS refs, count(*) FILTER (coalesce(bold, false)) AS bold FROM {RUNS} GROUP BY doc_id",
+}

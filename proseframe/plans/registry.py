@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, rule_queries, structure_queries
+from . import data_queries, mention_queries, rule_queries, structure_queries, mention_queries
 
-MODULES = [rule_queries, structure_queries, data_queries]
+MODULES = [rule_queries, structure_queries, mention_queries, data_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
