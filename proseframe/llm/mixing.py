@@ -117,4 +117,4 @@ def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, documents, uses, most_uses, tokens, share) of each target."""
     got = mix.groupBy("source", "doc_id").agg(F.count("*").alias("u"), F.sum("tokens").alias("t")).groupBy("source").agg(F.count("*").alias("documents"), F.sum("u").alias("uses"), F.max("u").alias("most_uses"), F.sum("t").alias("tokens"))
     r = _targets(targets).join(got, "source", "left").na.fill(0, ["documents", "uses", "most_uses", "tokens"])
-    return r.withColumn("share", F.coalesce(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), F.lit(0.0))).select("source", "target_share", "max_repeats", "documents", "uses", "most_uses", "tokens", "share")
+    return r.withColumn("share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0))).select("source", "target_share", "max_repeats", "documents", "uses", "most_uses", "tokens", "share")
