@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lit_array, lit_map, outside, replace_each
+from .text import let, lit_array, lit_map, outside, replace_each
 
 # Number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -44,7 +44,10 @@ def int_words(n: Column, style: str = "hyphen") -> Column:
     hyphen: 0 to 99, "twenty-five". long: 0 to 999 999 999 999, "one thousand two hundred five".
     and: 0 to 999, "two hundred and five". space: up to 999 999 either way of zero, "minus twenty five".
     """
-    n = n.cast("long")
+    return let(n.cast("long"), lambda m: _int_words(m, style))
+
+
+def _int_words(n: Column, style: str) -> Column:
     digits = n.cast("string")
     if style == "hyphen":
         return F.when((n >= 0) & (n < 100), _below_100(n, "-")).otherwise(digits)
@@ -79,10 +82,13 @@ WORD_VALUES = {w: i for i, w in enumerate(ONES)} | {w: 10 * i for i, w in enumer
 
 def words_to_int_99(words: Column) -> Column:
     """Words up to ninety-nine as a number, null if unknown."""
-    m, w = lit_map(WORD_VALUES), F.lower(F.trim(words))
-    a, b = F.split_part(w, F.lit("-"), F.lit(1)), F.split_part(w, F.lit("-"), F.lit(2))
-    tens, ones = F.element_at(m, a), F.element_at(m, b)
-    return F.when(~w.contains("-"), F.element_at(m, w)).when((tens >= 20) & (ones < 20), tens + ones)
+    m = lit_map(WORD_VALUES)
+
+    def value(w: Column) -> Column:
+        tens, ones = F.element_at(m, F.split_part(w, F.lit("-"), F.lit(1))), F.element_at(m, F.split_part(w, F.lit("-"), F.lit(2)))
+        return F.when(~w.contains("-"), F.element_at(m, w)).when((tens >= 20) & (ones < 20), tens + ones)
+
+    return let(F.lower(F.trim(words)), value)
 
 
 def words_to_int(words: Column) -> Column:
@@ -103,18 +109,16 @@ def words_to_numerals(text: Column) -> Column:
     units, teens, tens = "|".join(ONES[:10]), "|".join(ONES[10:]), "|".join(TENS[2:])
     below = rf"(?:(?:{tens})(?:[\s-](?:{'|'.join(ONES[1:10])}))?|{teens}|{units})"
     pattern = rf"(?i)\b{below}(?:\s+hundred(?:\s+(?:and\s+)?{below})?)?(?:\s+thousand(?:\s+{below}(?:\s+hundred(?:\s+(?:and\s+)?{below})?)?)?)?\b"
-    return replace_each(text, pattern, lambda m: F.when(words_to_int(m) >= 10, words_to_int(m).cast("string")).otherwise(m))
+    return replace_each(text, pattern, lambda m: let(words_to_int(m), lambda n: F.when(n >= 10, n.cast("string")).otherwise(m)))
 
 
 def spell_digits(text: Column) -> Column:
     """Single digits that stand alone, in words."""
-    for d in range(10):
-        text = F.regexp_replace(text, rf"(?<![{TOUCH}]){d}(?![{TOUCH}])", ONES[d])
-    return text
+    return replace_each(text, rf"(?<![{TOUCH}])[0-9](?![{TOUCH}])", lambda d: _at(ONES[:10], d.cast("int")))
 
 
 def _small(n: Column) -> Column:
-    return F.when(n.cast("long") < 10, _at(ONES, F.least(n.cast("long"), F.lit(9)))).otherwise(n.cast("long").cast("string"))
+    return let(n.cast("int"), lambda k: F.when(k < 10, _at(ONES[:10], F.least(k, F.lit(9)))).otherwise(k.cast("string")))
 
 
 def ranges_to_words(text: Column) -> Column:
@@ -164,9 +168,9 @@ def sentence_start_numbers(text: Column, style: str = "hyphen") -> Column:
     pattern = r"(?m)(?:^|(?<=[.!?])\s+)\d{1,3}(?:,\d{3})*(?![\d\p{L}_]|[.,]\d|\s*[-–%])"
 
     def say(m: Column) -> Column:
-        n = F.regexp_replace(F.trim(m), ",", "").try_cast("long")
-        w = int_words(n, style)
-        return F.concat(F.regexp_extract(m, r"^(\s*)", 1), F.when(w == n.cast("string"), F.trim(m)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))))
+        bare = F.regexp_replace(F.regexp_replace(m, r"\s+", ""), ",", "")
+        shown = lambda w: F.when(w == bare, F.regexp_replace(m, r"^\s+", "")).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+        return F.concat(F.regexp_extract(m, r"^(\s*)", 1), let(int_words(bare.try_cast("long"), style), shown))
 
     return replace_each(text, pattern, say)
 

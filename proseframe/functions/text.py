@@ -19,16 +19,31 @@ def lit_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value computed once, however often fn uses it: rules in a chain would otherwise double their work at every step."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def replace_each(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """The text with fn(match) for every match of the pattern, or the match itself where that is null; stays in the JVM."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(gaps, F.transform(found, lambda m: F.coalesce(fn(m), m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    def change(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: F.coalesce(fn(m), m))
+        joined = F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return let(text, change)
 
 
 def outside(text: Column, protected: str, fn: Callable[[Column], Column]) -> Column:
     """fn applied to the gaps between matches of the protected pattern; the matches stay as they are."""
-    gaps, kept = F.split(text, protected, -1), F.regexp_extract_all(text, F.lit(protected), F.lit(0))
-    return F.array_join(F.zip_with(F.transform(gaps, fn), kept, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    def change(t: Column) -> Column:
+        kept = F.regexp_extract_all(t, F.lit(protected), F.lit(0))
+        joined = F.array_join(F.zip_with(F.transform(F.split(t, protected, -1), fn), kept, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+        return F.when(t.isNull(), t).otherwise(joined)
+
+    return let(text, change)
 
 
 def count_matches(text: Column, pattern: str) -> Column:
