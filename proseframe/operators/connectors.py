@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protect import PROTECTED, mask, unmask
-from .sessions import cache_key, corrected_text, missing_prompts
-from .structure import leaks_prompt
+from .sessions import cache_key, corrected_text, missing_prompts, reconciled, reply_segments
+from .structure import fixed_batches, footnote_segments, leaks_prompt
 
 
 class Connector(Protocol):
@@ -101,6 +101,38 @@ def corrected(texts: DataFrame, instructions: str, connector: Connector, cache:
     return d.withColumn("corrected", F.when(good, unmask(F.col("_r"), F.col("_b"), "PROT")).otherwise(F.col(text))).drop("_m", "_b", "_p", "_r", "key", "response")
 
 
+SEPARATOR = "\n---\n"
+
+
+def batched_rewrite(paragraphs: DataFrame, instructions: str, connector: Connector, cache: DataFrame, doc: str = "doc_id", order: str = "para_idx", text: str = "text", batch_size: int = 5) -> DataFrame:
+    """(doc, order, text, rewritten): paragraphs rewritten in batches of a document's neighbours.
+
+    A batch's text segments (footnote placeholders stay behind) are joined, asked for once, and cut
+    again. If the number of segments or a segment's placeholders differ, the originals stand.
+    """
+    full = paragraphs.where(F.length(F.trim(text)) > 0).select(doc, order, text)
+    b = fixed_batches(full, doc, order, batch_size).withColumn("_s", footnote_segments(F.col(text)))
+    asked = b.withColumn("_t", F.transform(F.filter("_s", lambda s: (s["kind"] == "text") & ~s["is_empty"]), lambda s: s["text"]))
+    g = asked.groupBy(doc, "batch").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"])).alias("_o"))
+    g = g.withColumn("_p", F.concat(F.lit(instructions + "\nInput text:\n"), F.array_join("_o", SEPARATOR))).withColumn("key", cache_key(F.col("_p")))
+    g = g.join(ask(g, cache, connector, "_p"), "key", "left")
+    reply = F.when(F.size("_o") > 0, reply_segments(corrected_text(F.col("response"))))
+    g = g.select(doc, "batch", F.coalesce(reconciled(F.col("_o"), reply), F.col("_o")).alias("_n"))
+    # each paragraph's segments begin after those of the batch's earlier paragraphs
+    w = Window.partitionBy(doc, "batch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = asked.withColumn("_from", F.coalesce(F.sum(F.size("_t")).over(w), F.lit(0)).cast("int")).join(g, [doc, "batch"])
+    is_text = lambda s: (s["kind"] == "text") & ~s["is_empty"]
+    spaced = lambda s, t: F.concat(F.when(s["space_before"], F.lit(" ")).otherwise(F.lit("")), t, F.when(s["space_after"], F.lit(" ")).otherwise(F.lit("")))
+    nth = lambda i: F.col("_from") + F.size(F.filter(F.slice("_s", F.lit(1), i + 1), is_text)) - 1
+    new = F.array_join(F.transform("_s", lambda s, i: F.when(is_text(s), spaced(s, F.get("_n", nth(i)))).when(s["is_empty"], F.lit(" ")).otherwise(s["text"])), "")
+    return parts.select(doc, order, text, F.regexp_replace(new, r"^\s+|\s+$", "").alias("rewritten"))
+
+
+def citation_url(urls: Column, not_from: str = "http://dx.doi.org") -> Column:
+    """The first address of a search's results that isn't a resolver's, null if there is none."""
+    return F.get(F.filter(urls, lambda u: u.isNotNull() & ~u.startswith(not_from)), F.lit(0))
+
+
 # The labels of the topic classifier and words that speak for each.
 TOPICS = {
     "International Relations, Multipolarity and Multilateralism": ["trade", "tariff", "export", "import", "multilateral", "treaty", "investment"],

@@ -242,4 +242,17 @@ def corrected_notes(spark: SparkSession, sf: str) -> DataFrame:
     return connectors.corrected(n, "Correct the text.", connectors.Echo(), cache).select("doc_id", "kind", "note_id", "corrected")
 
 
+@query(f"SELECT doc_id, para_idx, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS chars FROM {PARAS} WHERE length(trim(text)) > 0")
+def batched_correction(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs cut at footnotes, asked for in batches of five, put together again: a service that changes nothing keeps every character but white space."""
+    cache = spark.createDataFrame([], "key string, response string")
+    r = connectors.batched_rewrite(paragraphs(spark, sf, "text"), "Correct the text.", connectors.Echo(), cache)
+    return r.select("doc_id", "para_idx", F.length(F.regexp_replace("rewritten", r"\s+", "")).alias("chars"))
+
+
+@query("SELECT o_orderkey AS k, concat('https://x.org/', o_orderkey) AS url FROM orders")
+def citation_url(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), connectors.citation_url(F.array(F.lit("http://dx.doi.org/1"), F.lit(None).cast("string"), F.concat(F.lit("https://x.org/"), "o_orderkey"), F.lit("https://y.org"))).alias("url"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import currency, numbers, protect, spelling
+from ..functions import currency, house, numbers, protect, spelling
 from ..functions import text as tx
 from .base import LINE, PARAS, RUNS, Registry, lines, paragraphs, runs, sql_below_100, sql_below_1000, sql_small, table
 
@@ -213,6 +213,18 @@ def table_figure_lines(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(protect.is_table_or_figure_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("table_lines"))
 
 
+@query("SELECT l_orderkey AS k, l_linenumber AS n, concat('On ', strftime(l_shipdate, '%-d %B %Y'), ', ', l_linenumber, ' left; CO2 in ', year(l_shipdate), '–', strftime(l_shipdate, '%y'), '.') AS text FROM lineitem")
+def written_house_rules(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit("On  "), F.date_format("l_shipdate", "d"), F.lit("th "), F.date_format("l_shipdate", "MMMM, yyyy"), F.lit(" , "), "l_linenumber", F.lit(" left ; CO₂ in "), F.date_format("l_shipdate", "yyyy"), F.lit("-"), F.date_format("l_shipdate", "yy"), F.lit("."))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), house.year_spans(house.plain_subscripts(house.dates(house.spacing(t)))).alias("text"))
+
+
+@query("SELECT p_partkey AS k, p_size % 2 = 0 AS scientific FROM part")
+def scientific_context(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit("The value"), F.when(F.col("p_size") % 2 == 0, F.lit(" = ")).otherwise(F.lit(" is ")), F.lit("5C here and x ± y"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), house.in_scientific_context(t, F.instr(t, "5") - 1, F.instr(t, "5")).alias("scientific"))
+
+
 @query()
 def style_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """All deterministic rules over all paragraphs, outside protected spans, line by line."""

@@ -1,8 +1,8 @@
 """Acronym state over a stream of batches, keyed by session: which acronyms a session has met, and which are new in a batch.
 
 The batch form of the same is a window (operators.mentions.first_mentions); this one is for text
-that arrives piece by piece. State is one small set per session; an idle session's state is dropped
-after a timeout in processing time.
+that arrives piece by piece. State is one small set per session. With idle_ms an idle session's state
+is dropped after that time of processing; without it, state stays, and a run over what is available ends.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ STATE = "known array<string>"
 ACRONYM = re.compile(r"(?<!\w)[A-Z]{2,}(?!\w)")
 
 
-def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -33,10 +33,16 @@ def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
                 rows.append((key[0], n, a, a not in known))
                 known.add(a)
     state.update((sorted(known),))
-    state.setTimeoutDuration(6 * 3600 * 1000)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(rows, columns=["session_id", "batch_num", "acronym", "is_new"])
 
 
-def acronym_stream(batches: DataFrame) -> DataFrame:
+def acronym_stream(batches: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(session_id, batch_num, acronym, is_new) of a stream of (session_id, batch_num, content)."""
-    return batches.select("session_id", "batch_num", "content").groupBy("session_id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+    def step(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _step(key, pdfs, state, idle_ms)
+
+    return batches.select("session_id", "batch_num", "content").groupBy("session_id").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)

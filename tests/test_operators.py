@@ -134,6 +134,21 @@ def test_connectors(spark):
         connectors.first_of(lambda p: (_ for _ in ()).throw(RuntimeError()))("p")
 
 
+def test_batched_rewrite(spark):
+    rows = [("d", 0, "One §FOOTNOTE:1§ two"), ("d", 1, "Three"), ("d", 2, ""), ("d", 3, "§FOOTNOTE:2§"), ("d", 4, "four, §FOOTNOTE:3§§FOOTNOTE:4§ five"), ("e", 0, None), ("e", 1, "x")]
+    d = spark.createDataFrame(rows, "doc_id string, para_idx int, text string")
+    cache = spark.createDataFrame([], "key string, response string")
+
+    def shout(prompt):
+        return "Corrected:\n" + prompt.rpartition("Input text:")[2].strip().upper()
+
+    for size in (1, 2, 5):
+        got = {(r["doc_id"], r["para_idx"]): r["rewritten"] for r in connectors.batched_rewrite(d, "Do", shout, cache, batch_size=size).collect()}
+        assert got == {("d", 0): "ONE §FOOTNOTE:1§ TWO", ("d", 1): "THREE", ("d", 3): "§FOOTNOTE:2§", ("d", 4): "FOUR, §FOOTNOTE:3§§FOOTNOTE:4§ FIVE", ("e", 1): "X"}
+    lost = connectors.batched_rewrite(d, "Do", lambda p: "Corrected:\nonly one", cache, batch_size=5).where("doc_id = 'd' AND para_idx = 0").first()
+    assert lost["rewritten"] == rows[0][2]
+
+
 def test_acronym_stream(spark, tmp_path):
     from proseframe.streaming.acronyms import acronym_stream
 

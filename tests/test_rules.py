@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from proseframe.functions import currency, numbers, protect, spelling, text
+from proseframe.functions import currency, house, numbers, protect, spelling, text
 
 RATES = "map('USD', cast(1.35 as decimal(18,8)), 'EUR', cast(1.46 as decimal(18,8)))"
 
@@ -48,6 +48,14 @@ def test_sgd(spark, given, want):
     assert run(spark, lambda c: currency.with_sgd(c, F.expr(RATES)), given) == want
 
 
+@pytest.mark.parametrize("fn,given,want", [
+    (house.dates, "31st December, 2023", "31 December 2023"), (house.year_spans, "1914-18 and 1914 - 1918, 2024-07-19", "1914–18 and 1914–1918, 2024-07-19"), (house.spacing, "Hello ,  there", "Hello, there"), (house.spacing, "in .5 of", "in .5 of"),
+    (house.initials, "J K Smith and A Man", "J. K. Smith and A Man"), (house.plain_subscripts, "CO₂", "CO2"),
+])
+def test_house(spark, fn, given, want):
+    assert run(spark, fn, given) == want
+
+
 def test_null_and_empty(spark):
     for fn in (numbers.number_rules, currency.currency_symbols, spelling.british, lambda c: protect.outside_protected(c, numbers.spell_digits)):
         assert run(spark, fn, None) is None and run(spark, fn, "") == ""
