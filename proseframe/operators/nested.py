@@ -36,6 +36,9 @@ _KIND = np.zeros(256, np.uint8)
 for _i, _c in enumerate("{}[]:,", 1):
     _KIND[ord(_c)] = _i
 OPEN_O, CLOSE_O, OPEN_A, CLOSE_A, COLON, COMMA, STRING, LITERAL = range(1, 9)
+_VALUE, _ENDED = np.zeros(9, bool), np.zeros(9, bool)
+_VALUE[[OPEN_O, OPEN_A, STRING, LITERAL]] = True
+_ENDED[[CLOSE_O, CLOSE_A, STRING, LITERAL]] = True
 _NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdefABCDEF"]] = True
@@ -64,25 +67,31 @@ def _unwrapped(body: pa.Array) -> pa.Array:
 def structure(raw: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Tokens of all records: where they begin and end, their kind, record, depth; and which records are valid."""
     n, records = len(raw), len(first) - 1
-    row = np.repeat(np.arange(records), np.diff(first))
+    row = np.repeat(np.arange(records, dtype=np.int32), np.diff(first))
     # a backslash escapes the next byte if the run of backslashes that it ends is odd
-    slash = raw == 92
-    pos = np.arange(n)
-    last_other = np.maximum.accumulate(np.where(~slash, pos, -1)) if n else pos
-    run = pos - np.maximum(last_other, first[row] - 1)
+    slash = np.flatnonzero(raw == 92)
     escaped = np.zeros(n, bool)
-    escaped[1:] = (slash[:-1] & (run[:-1] % 2 == 1)) & (row[1:] == row[:-1])
+    if len(slash):
+        fresh = np.ones(len(slash), bool)
+        fresh[1:] = (np.diff(slash) > 1) | (row[slash[1:]] != row[slash[:-1]])
+        run = slash - np.maximum.accumulate(np.where(fresh, slash, 0)) + 1
+        after = slash[run % 2 == 1] + 1
+        after = after[after < n]
+        escaped[after[row[after] == row[after - 1]]] = True
     quote = (raw == 34) & ~escaped
-    total = np.concatenate([[0], np.cumsum(quote)])
+    total = np.zeros(n + 1, np.int32)
+    np.cumsum(quote, out=total[1:])
     inside = ((total[1:] - total[first[row]]) & 1).astype(bool)  # from an opening quote up to before its closing one
     body = inside & ~quote
     bad = np.zeros(records, bool)
     odd = (total[first[1:]] - total[first[:-1]]) % 2 == 1
     bad |= odd
     bad[row[body & (raw < 32)]] = True
-    bad[row[body & escaped & ~_ESCAPED[raw]]] = True
-    bad[row[slash & ~inside]] = True
-    u = np.flatnonzero(body & escaped & (raw == 117))
+    at = np.flatnonzero(escaped)
+    at = at[body[at]]
+    bad[row[at[~_ESCAPED[raw[at]]]]] = True
+    bad[row[slash[~inside[slash]]]] = True
+    u = at[raw[at] == 117]
     if len(u):
         for k in range(1, 5):
             v = np.minimum(u + k, n - 1)
@@ -131,7 +140,9 @@ def _containers(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sub = np.concatenate([np.ones(n, np.int64), np.where(opens[br], 0, 2)])
     is_open = np.concatenate([np.zeros(n, bool), opens[br]])
     is_close = np.concatenate([np.zeros(n, bool), closes[br]])
-    order = np.lexsort((sub, idx, dep, s["row"][idx]))
+    dep = np.maximum(dep, -1)  # lower in broken records only
+    deep = int(dep.max(initial=0)) + 2
+    order = np.argsort(((s["row"][idx].astype(np.int64) * deep + dep + 1) * (n + 1) + idx) * 3 + sub)  # by record, depth, place
     row_o, dep_o, idx_o = s["row"][idx[order]], dep[order], idx[order]
     open_at = np.maximum.accumulate(np.where(is_open[order], np.arange(len(order)), -1)) if len(order) else order
     same = (open_at >= 0) & (row_o[open_at] == row_o) & (dep_o[open_at] == dep_o)
@@ -161,13 +172,13 @@ def _check(s: dict[str, np.ndarray], container: np.ndarray, partner: np.ndarray,
     after = np.zeros(n, np.uint8)
     after[:-1] = np.where(row[1:] == row[:-1], kind[1:], 0)
     is_key = (kind == STRING) & in_object & (after == COLON)
-    value = np.isin(kind, [OPEN_O, OPEN_A, STRING, LITERAL]) & ~is_key
+    value = _VALUE[kind] & ~is_key
     top = container < 0
     wrong |= is_key & ~np.isin(before, [OPEN_O, COMMA])
     wrong |= value & in_object & (before != COLON)
     wrong |= value & ~in_object & ~top & ~np.isin(before, [OPEN_A, COMMA])
     wrong |= value & top & (before != 0)
-    ended = np.isin(before, [CLOSE_O, CLOSE_A, STRING, LITERAL])
+    ended = _ENDED[before]
     wrong |= (kind == COLON) & ~(in_object & (before == STRING))
     wrong |= (kind == COMMA) & (top | ~ended)
     wrong |= (kind == CLOSE_O) & ~(ended | (before == OPEN_O))
@@ -232,7 +243,7 @@ def flatten_batch(rec_id: pa.Array, body: pa.Array, texts: bool = True) -> pa.Re
     in_object = (container >= 0) & (kind[parent] == OPEN_O)
     is_key = np.zeros(n, bool)
     is_key[:-1] = (kind[:-1] == STRING) & in_object[:-1] & (kind[1:] == COLON)
-    value = np.isin(kind, [OPEN_O, OPEN_A, STRING, LITERAL]) & ~is_key
+    value = _VALUE[kind] & ~is_key
     key = np.full(n, -1)  # token of the key whose value, or an item of whose list, this is
     direct = value & in_object
     key[direct] = np.flatnonzero(direct) - 2

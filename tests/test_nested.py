@@ -101,7 +101,7 @@ def test_against_walk():
     assert runs(bodies) == [sorted(walk(b)) for b in bodies]
 
 
-BAD = ["", " ", "{", "}", '{"w:p": }', '{"w:p" {}}', '{"a": tru}', '{"a": 01}', '{"a": "\\x"}', '{"a": "\\u12g4"}', '{"a": "b\nc"}', '{"a": [1,]}', '{"a": 1,}', "{,}", '{"a": 1} {}', "[1}", '{"a" "b"}', '{"w:p": {"w:r": {}}', '"{"', '{"a": "x', "nul", "1 2", "{'a': 1}", '["a":1]', "[,1]", "{1: 2}", "\\", '{"a"}']
+BAD = ["}}}}", "]]]{{{", '}}{"w:p":{"w:r":{}}}', "", " ", "{", "}", '{"w:p": }', '{"w:p" {}}', '{"a": tru}', '{"a": 01}', '{"a": "\\x"}', '{"a": "\\u12g4"}', '{"a": "b\nc"}', '{"a": [1,]}', '{"a": 1,}', "{,}", '{"a": 1} {}', "[1}", '{"a" "b"}', '{"w:p": {"w:r": {}}', '"{"', '{"a": "x', "nul", "1 2", "{'a': 1}", '["a":1]', "[,1]", "{1: 2}", "\\", '{"a"}']
 GOOD = ['{"w:p": {"w:r": {}}}', '[{"w:p": {"w:r": null}}]', ' {"x": -1.5e3, "w:p": [{"w:r": [{}, {}]}, null]} ', "null", "1", '"text"', '{"w:p":{"w:r":{"w:t":"\\u00e9 \\\\ \\" }"}}}', "[]", "{}", "[[]]"]
 
 
