@@ -87,7 +87,9 @@ def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: st
     h = h.withColumn("_tail", F.coalesce((F.col("_prev.abbr") == F.col("abbr")) & F.col("_prev.is_full") & (F.col("_prev.e") == F.col("pos")) & ~F.col("is_full"), F.lit(False)))
     lead = F.lead("_tail").over(seq)
     h = h.withColumn("_whole", F.coalesce(lead, F.lit(False)) & ~F.col("_tail"))
-    mention = h.where("NOT _tail").withColumn("nth", F.row_number().over(Window.partitionBy(doc, "abbr").orderBy(order, "pos")))
+    # the first mention is a minimum, which is aggregated before the shuffle, not a rank over all mentions
+    first = h.where("NOT _tail").groupBy(doc, "abbr").agg(F.min(F.struct(order, "pos")).alias("_first"))
+    mention = h.where("NOT _tail").join(first, [doc, "abbr"]).withColumn("nth", F.when((F.col(order) == F.col(f"_first.{order}")) & (F.col("pos") == F.col("_first.pos")), 1).otherwise(2))
     per = mention.groupBy(doc, order).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "abbr", "full", "nth", "_whole"))).alias("_h"))
     t = texts.join(per, [doc, order], "left")
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))

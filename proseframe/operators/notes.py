@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lit_array
+from .ordered import with_number
 
 # Months.
 MONTHS = "January February March April May June July August September October November December".split()
@@ -81,14 +82,13 @@ def markdown_segments(text: Column) -> Column:
 def numbered_notes(notes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Real notes (ids other than -1 and 0, with text) numbered from 1 by id: adds number."""
     real = notes.where("note_id NOT IN (-1, 0) AND length(text) > 0")
-    return real.withColumn("number", F.row_number().over(Window.partitionBy(doc, "kind").orderBy("note_id")))
+    return with_number(real, [doc, "kind"], "note_id", "number")
 
 
 def with_relations(links: DataFrame, existing: DataFrame, doc: str = "doc_id") -> DataFrame:
     """A relationship id for each new link, after the highest that the document has: links(doc, ord, target), existing(doc, rel_id)."""
     top = existing.groupBy(doc).agg(F.max(F.regexp_extract("rel_id", r"^rId(\d+)$", 1).try_cast("int")).alias("_top"))
-    n = F.row_number().over(Window.partitionBy(doc).orderBy("ord"))
-    return links.join(top, doc, "left").withColumn("rel_id", F.concat(F.lit("rId"), (F.coalesce("_top", F.lit(0)) + n).cast("string"))).drop("_top")
+    return with_number(links, [doc], "ord", "_n").join(top, doc, "left").withColumn("rel_id", F.concat(F.lit("rId"), (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("string"))).drop("_top", "_n")
 
 
 def short_citations(citations: DataFrame, doc: str, order: str, work: str, pages: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structure of documents: predicates over paragraphs, running flags, batches, runs and their markers.
 
-Windows are keyed by document. The one over a whole document is bounded by that document's
-paragraphs; nothing is gathered over documents.
+Numbers and flags that run over a whole document go block by block (operators.ordered), since one
+document may hold a large share of all rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_last_before, with_number
+
 SECTIONS = ("abbreviations", "executive summary", "introduction", "conclusion")
 FOOTNOTE = r"§FOOTNOTE:\d+§"
 
@@ -65,18 +67,18 @@ def leaks_prompt(text: Column, marks: tuple[str, ...] = LEAK_MARKS) -> Column:
 def with_toc_flag(paragraphs: DataFrame, doc: str = "doc_id", order: str = "para_idx", text: str = "text", style: str = "style") -> DataFrame:
     """Adds in_toc: a TOC style, the word contents, or a non-empty paragraph after contents and before a section heading."""
     t = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
-    w = Window.partitionBy(doc).orderBy(order)
     event = F.when(t == "contents", True).when(is_section_heading(F.col(text)), False)
-    before = F.coalesce(F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    open_ = (t == "contents") | before
-    return paragraphs.withColumn("in_toc", is_toc_style(F.col(style)) | (open_ & (t != "") & ~is_section_heading(F.col(text))))
+    d = with_last_before(paragraphs, [doc], order, event, "in_toc")
+    open_ = (t == "contents") | F.coalesce("in_toc", F.lit(False))
+    return d.withColumn("in_toc", is_toc_style(F.col(style)) | (open_ & (t != "") & ~is_section_heading(F.col(text))))
 
 
 def with_first_text(paragraphs: DataFrame, doc: str = "doc_id", order: str = "para_idx", text: str = "text") -> DataFrame:
     """Adds is_first: the document's first paragraph that isn't empty."""
     full = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
-    first = F.min(F.when(full, F.col(order))).over(Window.partitionBy(doc))
-    return paragraphs.withColumn("is_first", F.coalesce(F.col(order) == first, F.lit(False)))
+    first = paragraphs.where(full).groupBy(F.col(doc).alias("__doc")).agg(F.min(order).alias("__first"))
+    d = paragraphs.join(first, F.col(doc) == F.col("__doc"), "left")
+    return d.select(*paragraphs.columns, F.coalesce(F.col(order) == F.col("__first"), F.lit(False)).alias("is_first"))
 
 
 def short_bold(runs: DataFrame, keys: list[str], most_words: int = 7) -> DataFrame:
@@ -87,11 +89,11 @@ def short_bold(runs: DataFrame, keys: list[str], most_words: int = 7) -> DataFra
 
 def fixed_batches(df: DataFrame, doc: str, order: str, n: int) -> DataFrame:
     """Adds batch: every n rows of a document in order, from 0."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1) / n).cast("int"))
+    return with_number(df, [doc], order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / n).cast("int"))
 
 
 def budget_batches(df: DataFrame, doc: str, order: str, size: Column, budget: int) -> DataFrame:
-    """Adds batch, from 0: rows in order until the next would exceed the budget. Sequential by nature: one fold per document over sizes only."""
+    """Adds batch, from 0: rows in order until the next would exceed the budget. Sequential by nature: one fold per document, over its rows' sizes only."""
     arr = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_size").alias("s"))))
     start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("b"), F.array().cast("array<struct<o:int,b:int>>").alias("out"))
 

@@ -10,7 +10,8 @@ Defined results: a null or empty text, a text without a number, or without any u
 the text nor in the note), states no quantity and has a null value; a currency without a rate has
 a null value; repeated rows are kept as they are by with_quantities and counted once by
 agreeing_pairs; zero agrees with zero only; negative values agree by size with values of the same
-sign; extra columns pass through with_quantities unchanged.
+sign; extra columns pass through with_quantities unchanged,
+but for those named like its results, which are replaced.
 """
 
 from __future__ import annotations
@@ -213,10 +214,10 @@ def _parse(text: pd.Series, note: pd.Series) -> pd.DataFrame:
 
 def with_quantities(df: DataFrame, conversions: DataFrame, text: str = "text", note: str = "unit_note") -> DataFrame:
     """df with kind, number, unit, canonical and value; null where the text states no quantity. Spark picks the join by the table's size."""
-    c = conversions.select(F.col("unit").alias("_u"), F.col("canonical").alias("_c"), F.col("kind").alias("_k"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    d = df.withColumn("_q", _parse(F.col(text), F.col(note))).withColumn("_qu", F.col("_q.unit"))
-    d = d.join(c, F.col("_qu") == F.col("_u"), "left")
-    out = {"quantity_kind": F.col("_k"), "stated_number": F.col("_q.number"), "stated_unit": F.col("_q.unit"), "canonical_unit": F.col("_c"), "value": F.col("_q.number") * F.col("_a") + F.col("_b")}
+    c = conversions.select(F.col("unit").alias("__unit_u"), F.col("canonical").alias("__unit_c"), F.col("kind").alias("__unit_k"), F.col("a").alias("__unit_a"), F.col("b").alias("__unit_b"))
+    d = df.withColumn("__unit_q", _parse(F.col(text), F.col(note))).withColumn("__unit_qu", F.col("__unit_q.unit"))
+    d = d.join(c, F.col("__unit_qu") == F.col("__unit_u"), "left")
+    out = {"quantity_kind": F.col("__unit_k"), "stated_number": F.col("__unit_q.number"), "stated_unit": F.col("__unit_q.unit"), "canonical_unit": F.col("__unit_c"), "value": F.col("__unit_q.number") * F.col("__unit_a") + F.col("__unit_b")}
     keep = [x for x in df.columns if x not in out]
     return d.select(*keep, *(v.alias(k) for k, v in out.items()))
 

@@ -159,3 +159,21 @@ def test_acronym_stream(spark, tmp_path):
     q = acronym_stream(s).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["batch_num"], r["acronym"], r["is_new"]) for r in spark.read.parquet(str(out)).collect()} == {(1, "UN", True), (2, "UN", False), (2, "ILO", True)}
+
+
+def test_ordered_against_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from proseframe.operators.ordered import with_last_before, with_number
+
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([None, None, "x", "y"])) for k in ("a", "b", None) for i in rng.sample(range(200), 60)]
+    d = spark.createDataFrame(rows, "k string, i int, e string")
+    w = Window.partitionBy("k").orderBy("i")
+    for block in (1, 7, 1000):
+        n = with_number(d, ["k"], "i", "n", block).withColumn("m", F.row_number().over(w))
+        assert n.where("n <> m").count() == 0 and n.count() == len(rows)
+        p = with_last_before(d, ["k"], "i", F.col("e"), "p", block).withColumn("q", F.last("e", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        assert p.where("NOT p <=> q").count() == 0 and p.count() == len(rows)
