@@ -53,6 +53,13 @@ def is_whole_quote(text: Column) -> Column:
     return t.startswith('"') & t.endswith('"')
 
 
+def to_rewrite(paragraphs: DataFrame, text: str = "text", refs: str = "footnote_refs") -> DataFrame:
+    """Paragraphs worth rewriting: with a text or a footnote reference, and not a mere citation without one."""
+    n = F.coalesce(F.size(refs), F.lit(0))
+    full = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
+    return paragraphs.where((full | (n > 0)) & ~(is_citation_like(F.col(text)) & (n <= 0)))
+
+
 # Markers that only a prompt holds.
 LEAK_MARKS = ("ROLE", "TASK", "CHAIN-OF-THOUGHT", "DO NOT", "OUTPUT FORMAT", "Input text:")
 

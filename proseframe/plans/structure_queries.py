@@ -33,6 +33,14 @@ def toc_flag(spark: SparkSession, sf: str) -> DataFrame:
     return st.with_toc_flag(paragraphs(spark, sf, "style", "text")).select("doc_id", "para_idx", "in_toc")
 
 
+_CITES = "(regexp_matches(t, '^\\[.*\\]$') OR regexp_matches(t, '^\\d{1,3}$') OR regexp_matches(t, '(?i)\\bet al\\.|\\bibid\\b|\\bop\\. cit\\.|\\bcf\\.|\\bpp\\.|\\bvol\\.') OR regexp_matches(t, '^[\\[(^*]') OR regexp_matches(t, '[†‡§¹²³]') OR regexp_matches(t, '§FOOTNOTE:\\d+§'))"
+
+
+@query(f"SELECT doc_id, para_idx FROM (SELECT DISTINCT ON (doc_id, para_idx) doc_id, para_idx, trim({T}) AS t, coalesce(len(footnote_refs), 0) AS n FROM paragraphs) WHERE (length(t) > 0 OR n > 0) AND NOT ({_CITES} AND n <= 0)")
+def paragraphs_to_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    return st.to_rewrite(paragraphs(spark, sf, "text", "footnote_refs")).select("doc_id", "para_idx")
+
+
 @query(f"SELECT doc_id, min(para_idx) AS para_idx FROM {PARAS} WHERE length(trim({T})) > 0 GROUP BY doc_id")
 def first_nonempty(spark: SparkSession, sf: str) -> DataFrame:
     return st.with_first_text(paragraphs(spark, sf, "text")).where("is_first").select("doc_id", "para_idx")
