@@ -6,10 +6,12 @@ document may hold a large share of all rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_last_before, with_number
+from .ordered import BLOCK, with_last_before, with_number
 
 SECTIONS = ("abbreviations", "executive summary", "introduction", "conclusion")
 FOOTNOTE = r"§FOOTNOTE:\d+§"
@@ -99,19 +101,66 @@ def fixed_batches(df: DataFrame, doc: str, order: str, n: int) -> DataFrame:
     return with_number(df, [doc], order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / n).cast("int"))
 
 
-def budget_batches(df: DataFrame, doc: str, order: str, size: Column, budget: int) -> DataFrame:
-    """Adds batch, from 0: rows in order until the next would exceed the budget. Sequential by nature: one fold per document, over its rows' sizes only."""
-    arr = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_size").alias("s"))))
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("b"), F.array().cast("array<struct<o:int,b:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["cur"] > 0) & (acc["cur"] + x["s"] > budget)
-        b = F.when(over, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(F.when(over, x["s"]).otherwise(acc["cur"] + x["s"]).alias("cur"), b.alias("b"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("int").alias("o"), b.alias("b")))).alias("out"))
-
-    sized = df.select(doc, order, size.cast("long").alias("_size"))
-    folded = sized.groupBy(doc).agg(F.aggregate(arr, start, step, lambda acc: acc["out"]).alias("_x")).select(doc, F.explode("_x").alias("_y")).select(doc, F.col("_y.o").alias(order), F.col("_y.b").alias("batch"))
-    return folded
+def fold_sizes(sizes: np.ndarray, budget: int, carried: int = 0) -> tuple[np.ndarray, int]:
+    """Batch of each size, from 0, given what the open batch carries already; and what is carried on. A size is never parted from an empty batch."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    batch, at, n = np.zeros(len(sizes), np.int64), 0, 0
+    while True:
+        # the first place at which the open batch would exceed the budget, though it holds something
+        end = max(int(np.searchsorted(sums, sums[at] - carried + budget, side="right")) - 1, at)
+        if carried == 0:
+            while end < len(sizes) and sums[end] == sums[at]:  # nothing in it yet: takes one, however large
+                end += 1
+        batch[at:end] = n
+        if end >= len(sizes):
+            return batch, int(carried + sums[-1] - sums[at])
+        at, carried, n = end, 0, n + 1
+
+
+def budget_batches(df: DataFrame, doc: str, order: str, size: Column, budget: int, block: int = BLOCK) -> DataFrame:
+    """(doc, order, batch), batch from 0: rows in order until the next would exceed the budget.
+
+    A fold over a document, which may be long: each block of rows says for every place where its first
+    new batch may begin how it would go on from there, the blocks of a document are chained by these
+    summaries, and then each block is cut given what it takes over. sizes are whole numbers from 0;
+    order is a whole number, unique within doc.
+    """
+    d = df.select(F.col(doc).alias("doc"), F.col(order).cast("long").alias("ord"), F.greatest(size, F.lit(0)).cast("long").alias("size")).withColumn("block", F.coalesce(F.floor(F.col("ord") / block), F.lit(-1)).cast("long"))
+    kind = dict(d.dtypes)["doc"]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf.sort_values("ord")["size"].to_numpy()
+        sums = np.concatenate([[0], np.cumsum(s)])
+        starts = range(int(np.searchsorted(sums, budget, side="right")) if len(s) else 0)
+        ends = []
+        for j in starts:  # places at which a batch that came in may end
+            b, carry = fold_sizes(s[j:], budget)
+            ends.append((int(b[-1]) + 1 if len(b) else 0, carry))
+        return pd.DataFrame({"doc": pdf["doc"].iloc[:1], "block": pdf["block"].iloc[:1], "sums": [sums[: len(ends) + 1].tolist()], "batches": [[x for x, _ in ends]], "carries": [[x for _, x in ends]], "total": [int(sums[-1])]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        carried, n, out = 0, 0, []
+        for r in pdf.sort_values("block").itertuples():
+            out.append((r.doc, r.block, carried, n))
+            if carried and carried + r.total > budget:
+                j = max(int(np.searchsorted(np.asarray(r.sums), budget - carried, side="right")) - 1, 0)
+                n, carried = n + r.batches[j], r.carries[j]
+            elif carried:
+                carried += r.total
+            else:
+                n, carried = n + max(r.batches[0] - 1, 0), r.carries[0]
+        return pd.DataFrame(out, columns=["doc", "block", "carried", "n"])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        batch, _ = fold_sizes(pdf["size"].to_numpy(), budget, int(pdf["carried"].iloc[0]))
+        return pd.DataFrame({"doc": pdf["doc"], "ord": pdf["ord"], "batch": (batch + int(pdf["n"].iloc[0])).astype("int32")})
+
+    s = d.groupBy("doc", "block").applyInPandas(summary, f"doc {kind}, block long, sums array<long>, batches array<long>, carries array<long>, total long")
+    c = s.groupBy("doc").applyInPandas(chain, f"doc {kind}, block long, carried long, n long").withColumnsRenamed({"doc": "__doc", "block": "__block"})
+    j = d.join(c, d["doc"].eqNullSafe(c["__doc"]) & (d["block"] == c["__block"])).select("doc", "ord", "size", "block", "carried", "n")
+    out = j.groupBy("doc", "block").applyInPandas(cut, f"doc {kind}, ord long, batch int")
+    return out.select(F.col("doc").alias(doc), F.col("ord").cast(dict(df.dtypes)[order]).alias(order), "batch")
 
 
 def first_per_document(df: DataFrame, doc: str, order: str, n: int) -> DataFrame:

@@ -177,3 +177,26 @@ def test_ordered_against_windows(spark):
         assert n.where("n <> m").count() == 0 and n.count() == len(rows)
         p = with_last_before(d, ["k"], "i", F.col("e"), "p", block).withColumn("q", F.last("e", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         assert p.where("NOT p <=> q").count() == 0 and p.count() == len(rows)
+
+
+def test_budget_blocks_against_fold(spark):
+    import random
+
+    def fold(sizes, budget):
+        cur, b, out = 0, 0, []
+        for s in sizes:
+            if cur > 0 and cur + s > budget:
+                cur, b = 0, b + 1
+            cur += s
+            out.append(b)
+        return out
+
+    rng = random.Random(9)
+    docs = {f"d{k}": [rng.choice([0, 0, 1, 3, 7, 12, 25]) for _ in range(rng.randint(1, 60))] for k in range(12)}
+    docs[None] = [0, 30, 0, 5]
+    rows = [(k, i, s) for k, v in docs.items() for i, s in enumerate(v)]
+    d = spark.createDataFrame(rows, "doc_id string, i int, s int")
+    for block in (1, 4, 1000):
+        got = {(r["doc_id"], r["i"]): r["batch"] for r in structure.budget_batches(d, "doc_id", "i", F.col("s"), 10, block).collect()}
+        want = {(k, i): b for k, v in docs.items() for i, b in enumerate(fold(v, 10))}
+        assert got == want, block
