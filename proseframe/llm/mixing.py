@@ -66,7 +66,7 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
-    """(source, doc_id, repeat_no, tokens, finish_time) of the mix. counts must give the same rows each time it is read."""
+    """(source, doc_id, repeat_no, tokens, finish_time) of the mix, range-sorted by finish time over all partitions. counts must give the same rows each time it is read."""
     t = _targets(targets)
     docs = counts.where("tokens > 0").join(t, "source").groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"), F.first("target_share").alias("w"), F.first("max_repeats").alias("m"))
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
@@ -85,9 +85,9 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     placed = b.join(sums, ["source", "bucket"]).join(plan, "source").withColumn("cum", F.col("before") + F.col("run"))
     uses = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("m"))))
     uses = uses.withColumn("finish_time", ((F.col("repeat_no") - 1) * F.col("all_tokens") + F.col("cum")) / F.col("weight"))
-    # finish times tell the tokens taken: all sources together have taken v tokens by virtual time v, until one runs out
+    # by virtual time v all sources together have taken v tokens, until one runs out: below that the budget is a bound on finish time
     kept = uses.where(F.col("finish_time") <= F.col("budget")) if total_tokens is None else _truncate(uses)
-    return kept.select("source", "doc_id", F.col("repeat_no").cast("int").alias("repeat_no"), "tokens", "finish_time")
+    return kept.select("source", "doc_id", F.col("repeat_no").cast("int").alias("repeat_no"), "tokens", "finish_time").orderBy("finish_time", "source", "doc_id", "repeat_no")
 
 
 def _running(sums: DataFrame, step: int = 4096) -> DataFrame:
