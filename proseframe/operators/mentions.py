@@ -2,7 +2,7 @@
 
 Dictionaries meet texts by an equi-join on word n-grams: a text's n-grams of up to the longest
 entry's length are exploded and joined with the dictionary's keys, so the work doesn't grow with
-texts times entries. Spark picks the join by the dictionary's size.
+texts times entries. A dictionary of counted, bounded size is broadcast; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, is_acronym_short, normalise_key, words
+from .joins import checked_broadcast
 
 DEFINED = r"([A-Za-z\s]+)\s*\(([A-Za-z0-9]+)\)"
 #: words are found with their places: (word, number from 0)
@@ -67,7 +68,7 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], te
     grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w").select(*keys, "pos", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("pos")))).alias("n"), "_w")
     grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
     d = dictionary.withColumn("_key", low(F.array_join(words(F.col(term)), " "))).where("_key <> ''")
-    hits = grams.join(d, "_key").drop("_key")
+    hits = grams.join(checked_broadcast(d), "_key").drop("_key")
     by = Window.partitionBy(*keys).orderBy("pos", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # a hit is inside an earlier one if that ends beyond its start
     return hits.withColumn("_end", F.max(F.col("pos") + F.col("n")).over(by)).where("_end IS NULL OR _end <= pos").drop("_end")

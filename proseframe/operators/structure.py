@@ -120,13 +120,25 @@ def fold_sizes(sizes: np.ndarray, budget: int, carried: int = 0) -> tuple[np.nda
 def budget_batches(df: DataFrame, doc: str, order: str, size: Column, budget: int, block: int = BLOCK) -> DataFrame:
     """(doc, order, batch), batch from 0: rows in order until the next would exceed the budget.
 
-    A fold over a document, which may be long: each block of rows says for every place where its first
-    new batch may begin how it would go on from there, the blocks of a document are chained by these
-    summaries, and then each block is cut given what it takes over. sizes are whole numbers from 0;
-    order is a whole number, unique within doc.
+    A fold over a document. One of a single block of rows is folded in the JVM. Of a longer one each
+    block says for every place where its first new batch may begin how it would go on from there, the
+    blocks are chained by these summaries, and then each block is cut given what it takes over. sizes
+    are whole numbers from 0; order is a whole number, unique within doc.
     """
     d = df.select(F.col(doc).alias("doc"), F.col(order).cast("long").alias("ord"), F.greatest(size, F.lit(0)).cast("long").alias("size")).withColumn("block", F.coalesce(F.floor(F.col("ord") / block), F.lit(-1)).cast("long"))
     kind = dict(d.dtypes)["doc"]
+    long_docs = d.groupBy("doc").agg(F.min("block").alias("__a"), F.max("block").alias("__b")).where("__a < __b").select(F.col("doc").alias("__doc"))
+    is_long = d["doc"].eqNullSafe(long_docs["__doc"])
+    short, d = d.join(long_docs, is_long, "left_anti"), d.join(long_docs, is_long, "left_semi")
+
+    def step(acc: Column, x: Column) -> Column:
+        over = (acc["cur"] > 0) & (acc["cur"] + x["s"] > budget)
+        b = F.when(over, acc["b"] + 1).otherwise(acc["b"])
+        return F.struct(F.when(over, x["s"]).otherwise(acc["cur"] + x["s"]).alias("cur"), b.alias("b"), F.array_append(acc["out"], F.struct(x["o"].alias("o"), b.alias("b"))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("b"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), F.col("size").alias("s"))))
+    folded = short.groupBy("doc").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("x")).select("doc", F.explode("x").alias("y")).select("doc", F.col("y.o").alias("ord"), F.col("y.b").alias("batch"))
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("ord")["size"].to_numpy()
@@ -159,7 +171,7 @@ def budget_batches(df: DataFrame, doc: str, order: str, size: Column, budget: in
     s = d.groupBy("doc", "block").applyInPandas(summary, f"doc {kind}, block long, sums array<long>, batches array<long>, carries array<long>, total long")
     c = s.groupBy("doc").applyInPandas(chain, f"doc {kind}, block long, carried long, n long").withColumnsRenamed({"doc": "__doc", "block": "__block"})
     j = d.join(c, d["doc"].eqNullSafe(c["__doc"]) & (d["block"] == c["__block"])).select("doc", "ord", "size", "block", "carried", "n")
-    out = j.groupBy("doc", "block").applyInPandas(cut, f"doc {kind}, ord long, batch int")
+    out = folded.unionByName(j.groupBy("doc", "block").applyInPandas(cut, f"doc {kind}, ord long, batch int"))
     return out.select(F.col("doc").alias(doc), F.col("ord").cast(dict(df.dtypes)[order]).alias(order), "batch")
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import checked_broadcast
+
 # Conversions, (from, to, a, b): to = a * from + b. Several say the same by another way.
 EDGES = [
     ("g", "kg", 0.001, 0), ("kg", "t", 0.001, 0), ("kt", "t", 1000, 0), ("quintal", "kg", 100, 0), ("quintal", "t", 0.1, 0), ("lb", "kg", 0.45359237, 0), ("oz", "lb", 1 / 16, 0), ("short_ton", "lb", 2000, 0), ("long_ton", "lb", 2240, 0), ("short_ton", "kg", 907.18474, 0), ("Mt", "t", 1e6, 0),
@@ -213,10 +215,13 @@ def _parse(text: pd.Series, note: pd.Series) -> pd.DataFrame:
 
 
 def with_quantities(df: DataFrame, conversions: DataFrame, text: str = "text", note: str = "unit_note") -> DataFrame:
-    """df with kind, number, unit, canonical and value; null where the text states no quantity. Spark picks the join by the table's size."""
+    """df with kind, number, unit, canonical and value; null where the text states no quantity.
+
+    Units are few, so a join by shuffle would put most rows into a few tasks: the conversions, of counted size, are broadcast.
+    """
     c = conversions.select(F.col("unit").alias("__unit_u"), F.col("canonical").alias("__unit_c"), F.col("kind").alias("__unit_k"), F.col("a").alias("__unit_a"), F.col("b").alias("__unit_b"))
     d = df.withColumn("__unit_q", _parse(F.col(text), F.col(note))).withColumn("__unit_qu", F.col("__unit_q.unit"))
-    d = d.join(c, F.col("__unit_qu") == F.col("__unit_u"), "left")
+    d = d.join(checked_broadcast(c), F.col("__unit_qu") == F.col("__unit_u"), "left")
     out = {"quantity_kind": F.col("__unit_k"), "stated_number": F.col("__unit_q.number"), "stated_unit": F.col("__unit_q.unit"), "canonical_unit": F.col("__unit_c"), "value": F.col("__unit_q.number") * F.col("__unit_a") + F.col("__unit_b")}
     keep = [x for x in df.columns if x not in out]
     return d.select(*keep, *(v.alias(k) for k, v in out.items()))

@@ -60,8 +60,14 @@ BATCHES = "(SELECT DISTINCT session_id, batch_num, content FROM context_cache)"
 LINE = "(SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, CAST(round(l_discount * 100) AS INTEGER) AS d, l_partkey AS pk, CAST(l_extendedprice AS DECIMAL(12,2)) AS p FROM lineitem)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than there are cores; larger tables are left alone. For rows that cost much more to work on than to move."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "CAST(l_quantity AS INT) AS q", "CAST(round(l_discount * 100) AS INT) AS d", "l_partkey AS pk", "CAST(l_extendedprice AS DECIMAL(12,2)) AS p")
+    return spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_partkey", "l_extendedprice")).selectExpr("l_orderkey AS k", "l_linenumber AS n", "CAST(l_quantity AS INT) AS q", "CAST(round(l_discount * 100) AS INT) AS d", "l_partkey AS pk", "CAST(l_extendedprice AS DECIMAL(12,2)) AS p")
 
 
 def sql_list(words: list[str]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import connectors, mentions as mn, sessions as ss
 from ..sources import dims
-from .base import BATCHES, DOCS, NOTES, PARAS, Registry, batches, documents, lines, notes, paragraphs, runs, table
+from .base import BATCHES, DOCS, NOTES, PARAS, Registry, batches, documents, lines, notes, paragraphs, runs, spread, table
 
 query = Registry()
 WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
@@ -77,7 +77,7 @@ _TALK = ["Talks at the UN resumed.", "The United Nations met.", "United Nations
     SELECT doc, ord, CASE t WHEN 0 THEN concat('Talks at the ', CASE WHEN nth = 1 THEN 'United Nations (UN)' ELSE 'UN' END, ' resumed.') WHEN 1 THEN concat('The ', CASE WHEN nth = 1 THEN 'United Nations (UN)' ELSE 'UN' END, ' met.')
       WHEN 2 THEN 'United Nations (UN) staff left.' ELSE concat(CASE WHEN nth = 1 THEN 'Greenhouse Gases (GHG)' ELSE 'GHG' END, ' and GHG rose.') END AS text FROM u""")
 def abbr_expand(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), F.element_at(tx.lit_array(_TALK), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+    o = spread(table(spark, sf, "orders")).select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), F.element_at(tx.lit_array(_TALK), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
     return mn.expand_mentions(o, dims.categories(spark).select("abbr", "full"), "doc", "ord")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import diff, notes as nt, structure as st
+from ..operators.joins import checked_broadcast
 from ..functions import numbers
 from ..functions import text as tx
 from .base import BATCHES, DOCS, LINE, NOTES, PARAS, RUNS, Registry, batches, documents, lines, notes, paragraphs, runs, table
@@ -145,7 +146,7 @@ def footnote_run_format(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, para_idx, coalesce(b, false) AS style_bold FROM (SELECT doc_id, para_idx, {KEY} AS k FROM {PARAS}) LEFT JOIN (VALUES ('title', true), ('heading1', true), ('heading2', true), ('normal', false)) s(k, b) USING (k)")
 def style_bold(spark: SparkSession, sf: str) -> DataFrame:
     dim = spark.createDataFrame([("title", True), ("heading1", True), ("heading2", True), ("normal", False)], "k string, b boolean")
-    return paragraphs(spark, sf, "style").withColumn("k", st.style_key(F.col("style"))).join(dim, "k", "left").select("doc_id", "para_idx", F.coalesce("b", F.lit(False)).alias("style_bold"))
+    return paragraphs(spark, sf, "style").withColumn("k", st.style_key(F.col("style"))).join(checked_broadcast(dim), "k", "left").select("doc_id", "para_idx", F.coalesce("b", F.lit(False)).alias("style_bold"))
 
 
 @query(f"""SELECT p.doc_id, p.para_idx, 'Calibri' AS font, CAST(CASE WHEN p.para_idx = f.m AND (p.k LIKE 'heading%' OR p.k IN ('title', 'subtitle')) THEN 28 ELSE 24 END AS INTEGER) AS half_points FROM (SELECT *, {KEY} AS k FROM {PARAS}) p LEFT JOIN (SELECT doc_id, min(para_idx) AS m FROM {PARAS} WHERE length(trim({T})) > 0 GROUP BY doc_id) f ON p.doc_id = f.doc_id""")
