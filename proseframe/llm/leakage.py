@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import MOST_ROWS
 from .lookalike import consistent_array, consistent_text
 from .shared import cut_lineage
 
@@ -176,6 +177,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, cover: float = COVER, m
         index = ItemIndex(lists)
         flat = [(x["item_id"], len(w), i, int(s)) for x, w, of in zip(rows, lists, index.of_item) for i, s in enumerate(of)]
         item_sh = spark.createDataFrame(flat, "item_id long, item_words int, item_pos int, sh int")
+        item_sh = F.broadcast(item_sh) if len(flat) <= MOST_ROWS else item_sh
         hits = _hits(documents, index).dropDuplicates(["doc_id"])
     else:
         hits, item_sh = _by_shuffle(documents, items)

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import checked_broadcast
 from .shared import TOKENIZERS, cut_lineage, encoding
 
 SEED = 20240719
 DOCS_PER_BUCKET = 512
+MOST_TARGETS = 10_000  # up to here the targets, and plans of one row for each, are broadcast
 
 
 def source_name(c: Column) -> Column:
@@ -67,7 +69,10 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
     """(source, doc_id, repeat_no, tokens, finish_time) of the mix, range-sorted by finish time over all partitions. counts must give the same rows each time it is read."""
-    t = _targets(targets)
+    # sources are few: a join by shuffle would put most documents into a few tasks
+    t = checked_broadcast(_targets(targets), MOST_TARGETS)
+    few = targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     docs = counts.where("tokens > 0").join(t, "source").groupBy("source", "doc_id").agg(F.max("tokens").alias("tokens"), F.first("target_share").alias("w"), F.first("max_repeats").alias("m"))
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     docs = cut_lineage(docs)
@@ -77,12 +82,12 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     plan = per_source.withColumn("weight", F.col("w") / F.sum("w").over(whole)).withColumn("most", F.min(F.col("all_tokens") * F.col("m") / F.col("weight")).over(whole))
     plan = plan.withColumn("budget", F.least(F.lit(float(total_tokens)), F.sum(F.col("all_tokens") * F.col("m")).over(whole).cast("double")) if total_tokens is not None else F.col("most"))
     plan = plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / docs_per_bucket))).withColumn("top", F.max(F.col("all_tokens") * F.col("m") / F.col("weight")).over(whole)).select("source", "all_tokens", "m", "weight", "budget", "buckets", "top")
-    b = docs.select("source", "doc_id", "tokens", "h").join(plan.select("source", "buckets"), "source").withColumn("bucket", F.floor(F.shiftrightunsigned("h", 24) / F.lit(float(1 << 40)) * F.col("buckets")).cast("long")).drop("buckets")
+    b = docs.select("source", "doc_id", "tokens", "h").join(small(plan.select("source", "buckets")), "source").withColumn("bucket", F.floor(F.shiftrightunsigned("h", 24) / F.lit(float(1 << 40)) * F.col("buckets")).cast("long")).drop("buckets")
     in_bucket = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("h", 24), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("run", F.sum("tokens").over(in_bucket))
     sums = b.groupBy("source", "bucket").agg(F.sum("tokens").alias("s"))
     sums = _running(sums).select("source", "bucket", "before")
-    placed = b.join(sums, ["source", "bucket"]).join(plan, "source").withColumn("cum", F.col("before") + F.col("run"))
+    placed = b.join(sums, ["source", "bucket"]).join(small(plan), "source").withColumn("cum", F.col("before") + F.col("run"))
     uses = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("m"))))
     uses = uses.withColumn("finish_time", ((F.col("repeat_no") - 1) * F.col("all_tokens") + F.col("cum")) / F.col("weight"))
     # by virtual time v all sources together have taken v tokens, until one runs out: below that the budget is a bound on finish time

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import checked_broadcast
+
 PIECE_SCHEMA = "item_kind string, owner_id string, item_idx int, piece_no int, start_pos long, end_pos long, n_pieces int, strength int, text string"
 ARROW_SCHEMA = pa.schema([("item_kind", pa.string()), ("owner_id", pa.string()), ("item_idx", pa.int32()), ("piece_no", pa.int32()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("n_pieces", pa.int32()), ("strength", pa.int32()), ("text", pa.string())])
 
@@ -150,7 +152,7 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     keys, to drop repeated deliveries.
     """
     lim = limits.where("item_kind IS NOT NULL AND max_chars >= 1").groupBy("item_kind").agg(F.min("max_chars").cast("int").alias("max_chars"), F.min_by("overlap_chars", F.struct("max_chars", "overlap_chars")).cast("int").alias("overlap_chars"))
-    d = items.select("item_kind", F.col("owner_id").cast("string").alias("owner_id"), F.col("item_idx").cast("int").alias("item_idx"), "text").join(lim, "item_kind")
+    d = items.select("item_kind", F.col("owner_id").cast("string").alias("owner_id"), F.col("item_idx").cast("int").alias("item_idx"), "text").join(checked_broadcast(lim), "item_kind")
     d = d.where(F.length("text") > F.col("max_chars")).select("item_kind", "owner_id", "item_idx", "text", "max_chars", F.least(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)), F.col("max_chars") - 1).alias("overlap_chars"))
     return d.mapInArrow(_cut_all, PIECE_SCHEMA)
 
