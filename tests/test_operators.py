@@ -200,3 +200,13 @@ def test_budget_blocks_against_fold(spark):
         got = {(r["doc_id"], r["i"]): r["batch"] for r in structure.budget_batches(d, "doc_id", "i", F.col("s"), 10, block).collect()}
         want = {(k, i): b for k, v in docs.items() for i, b in enumerate(fold(v, 10))}
         assert got == want, block
+
+
+def test_checked_broadcast(spark):
+    from proseframe.operators.joins import checked_broadcast
+
+    d = spark.createDataFrame([(i, str(i)) for i in range(20)], "k int, v string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    big = spark.range(1000).selectExpr("cast(id as int) AS k")
+    assert "broadcast" in plan(big.join(checked_broadcast(d), "k")) and "broadcast" not in plan(big.join(checked_broadcast(d, 10), "k"))
+    assert big.join(checked_broadcast(d, 10), "k").count() == 20
