@@ -1,7 +1,7 @@
 """Abbreviations, synonyms, variants and names: first mention, later mention, and dictionary work.
 
-Dictionaries meet texts by an equi-join on word n-grams: a text's n-grams of up to the longest
-entry's length are exploded and joined with the dictionary's keys, so the work doesn't grow with
+Dictionaries meet texts by an equi-join on word n-grams: a text's n-grams of all lengths that
+entries have are exploded and joined with the dictionary's keys, so the work doesn't grow with
 texts times entries. A dictionary of counted, bounded size is broadcast; a larger one is joined by shuffle.
 """
 
@@ -57,7 +57,7 @@ def expansion_key(full: Column) -> Column:
     return normalise_key(full)
 
 
-def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, term: str, longest: int = 6, fold: bool = True) -> DataFrame:
+def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, term: str, fold: bool = True) -> DataFrame:
     """Places in the texts where dictionary terms occur as whole words, longest first, without overlaps.
 
     texts has keys and text, dictionary has term and any other columns. Result: keys, pos (word
@@ -65,23 +65,24 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], te
     """
     low = (lambda c: F.lower(c)) if fold else (lambda c: c)
     w = texts.select(*keys, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w").select(*keys, "pos", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - F.col("pos")))).alias("n"), "_w")
-    grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
     d = dictionary.withColumn("_key", low(F.array_join(words(F.col(term)), " "))).where("_key <> ''")
+    lengths = d.agg(F.sort_array(F.collect_set(F.size(words(F.col(term)))))).first()[0]
+    grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w").select(*keys, "pos", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size("_w") - F.col("pos"))).alias("n"), "_w")
+    grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
     hits = grams.join(checked_broadcast(d), "_key").drop("_key")
     by = Window.partitionBy(*keys).orderBy("pos", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # a hit is inside an earlier one if that ends beyond its start
     return hits.withColumn("_end", F.max(F.col("pos") + F.col("n")).over(by)).where("_end IS NULL OR _end <= pos").drop("_end")
 
 
-def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: str, text: str = "text", longest: int = 6) -> DataFrame:
+def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
     """Texts with the first mention of each entry in a document as "Full (ABBR)" and later ones as "ABBR".
 
     dictionary(abbr, full). One pass: all entries at once, longest match first, no overlaps; a
     mention that already reads "Full (ABBR)" stays and counts. A text that holds nothing stays.
     """
     both = dictionary.select("abbr", "full", F.col("abbr").alias("term"), F.lit(False).alias("is_full")).union(dictionary.select("abbr", "full", F.col("full").alias("term"), F.lit(True).alias("is_full")))
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), both, [doc, order], text, "term", longest)
+    h = dictionary_hits(texts.where(F.col(text).isNotNull()), both, [doc, order], text, "term")
     # "Full (ABBR)": an abbreviation right after its full form is part of it
     seq = Window.partitionBy(doc, order).orderBy("pos")
     h = h.withColumn("_prev", F.lag(F.struct("abbr", (F.col("pos") + F.col("n")).alias("e"), "is_full")).over(seq))
@@ -106,22 +107,22 @@ def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: st
     return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(new).alias(text))
 
 
-def unify_terms(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text", longest: int = 6) -> DataFrame:
+def unify_terms(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
     """Of each group of synonyms the term that a document mentions first, and where: (doc, group_id, chosen, first_order, first_pos, others).
 
     groups(group_id, ord, term). Ties in place can't be: of terms at one place the longest is meant.
     """
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), groups.select("group_id", "ord", "term"), [doc, order], text, "term", longest)
+    h = dictionary_hits(texts.where(F.col(text).isNotNull()), groups.select("group_id", "ord", "term"), [doc, order], text, "term")
     at = F.struct(F.col(order), F.col("pos"), F.col("ord"))
     per = h.groupBy(doc, "group_id").agg(F.min_by("term", at).alias("chosen"), F.min(at).alias("_at"), F.count("*").alias("mentions"))
     others = h.join(per.select(doc, "group_id", "chosen"), [doc, "group_id"]).groupBy(doc, "group_id").agg(F.sum((F.lower("term") != F.lower("chosen")).cast("long")).alias("replaced"))
     return per.join(others, [doc, "group_id"]).select(doc, "group_id", "chosen", F.col(f"_at.{order}").alias("first_order"), F.col("_at.pos").alias("first_pos"), "mentions", "replaced")
 
 
-def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], text: str = "text", longest: int = 6) -> DataFrame:
+def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Texts with every variant, as a whole word and in its own case, replaced by its entity: variants(entity, variant), longest first."""
     d = variants.where("variant <> entity")
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), d, keys, text, "variant", longest, fold=False)
+    h = dictionary_hits(texts.where(F.col(text).isNotNull()), d, keys, text, "variant", fold=False)
     per = h.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "entity"))).alias("_h"))
     t = texts.join(per, keys, "left")
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))

@@ -86,7 +86,7 @@ def abbr_expand(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, group_id, arg_min(term, CAST(para_idx AS BIGINT) * 1000000 + pos) AS chosen, CAST(min(CAST(para_idx AS BIGINT) * 1000000 + pos) // 1000000 AS INTEGER) AS first_order, CAST(min(CAST(para_idx AS BIGINT) * 1000000 + pos) % 1000000 AS INTEGER) AS first_pos, count(*) AS mentions FROM w JOIN d USING (word) GROUP BY doc_id, group_id""")
 def synonym_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     dim = table(spark, sf, "synonym_dim").withColumn("w", F.lower(F.array_join(tx.words(F.col("term")), " "))).where("w <> ''").groupBy("w").agg(F.min("group_id").alias("group_id"), F.min("ord").alias("ord"), F.min_by("term", "ord").alias("term"))
-    u = mn.unify_terms(paragraphs(spark, sf, "text"), dim, "doc_id", "para_idx", longest=1)
+    u = mn.unify_terms(paragraphs(spark, sf, "text"), dim, "doc_id", "para_idx")
     return u.select("doc_id", "group_id", "chosen", "first_order", "first_pos", "mentions")
 
 

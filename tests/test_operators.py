@@ -15,6 +15,15 @@ def test_expand(spark):
     assert got == {("a", 0): "Greenhouse Gases (GHG) and GHG.", ("a", 1): "The GHG and the (GHG).", ("b", 0): "Greenhouse Gases (GHG) rise; GHG fall.", ("c", 0): None, ("c", 1): "", ("c", 2): "GHGs only"}
 
 
+def test_expand_long_terms(spark):
+    full = {"UNFCCC": "United Nations Framework Convention on Climate Change", "UNESCAP": "United Nations Economic and Social Commission for Asia and the Pacific", "UN": "United Nations", "LONG": " ".join(f"w{i}" for i in range(40))}
+    ab = spark.createDataFrame(list(full.items()), "abbr string, full string")
+    d = spark.createDataFrame([("a", i, f"The {t} and {t}.") for i, t in enumerate(full.values())], "doc string, i int, text string")
+    got = {r["i"]: r["text"] for r in mentions.expand_mentions(d, ab, "doc", "i").collect()}
+    assert got == {i: f"The {t} ({a}) and {a}." for i, (a, t) in enumerate(full.items())}
+    assert {r["text"] for r in mentions.expand_mentions(d, ab.limit(0), "doc", "i").collect()} == {r["text"] for r in d.collect()}
+
+
 def test_synonyms_and_variants(spark):
     d = spark.createDataFrame([("a", 0, "The Republic of Korea and South Korea"), ("a", 1, "ROK")], "doc string, i int, text string")
     r = mentions.unify_terms(d, dims.state_synonyms(spark), "doc", "i").collect()
