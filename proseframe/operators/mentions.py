@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.protect import QUOTED
 from ..functions.text import WORD, is_acronym_short, normalise_key, words
 from .joins import checked_broadcast
 
@@ -57,17 +58,28 @@ def expansion_key(full: Column) -> Column:
     return normalise_key(full)
 
 
-def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, term: str, fold: bool = True) -> DataFrame:
+def protected_words(text: Column, protected: str) -> Column:
+    """For each word of the text whether it is in a match of the protected pattern, which begins and ends between words."""
+    marks = lambda part, inside: F.transform(words(part), lambda _: F.lit(inside))
+    kept = F.regexp_extract_all(text, F.lit(protected), F.lit(0))
+    return F.flatten(F.zip_with(F.split(text, protected, -1), kept, lambda g, m: F.concat(marks(g, False), F.coalesce(marks(m, True), F.array().cast("array<boolean>")))))
+
+
+def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, term: str, fold: bool = True, protected: str | None = None) -> DataFrame:
     """Places in the texts where dictionary terms occur as whole words, longest first, without overlaps.
 
     texts has keys and text, dictionary has term and any other columns. Result: keys, pos (word
-    number from 0), n (words), and the dictionary's columns. A place inside a longer hit is dropped.
+    number from 0), n (words), and the dictionary's columns. A place inside a longer hit is dropped,
+    and so is one with a word in a match of the protected pattern.
     """
     low = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    w = texts.select(*keys, words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    guard = protected_words(F.col(text), protected) if protected else F.lit(None).cast("array<boolean>")
+    w = texts.select(*keys, words(F.col(text)).alias("_w"), guard.alias("_g")).where(F.size("_w") > 0)
     d = dictionary.withColumn("_key", low(F.array_join(words(F.col(term)), " "))).where("_key <> ''")
     lengths = d.agg(F.sort_array(F.collect_set(F.size(words(F.col(term)))))).first()[0]
-    grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w").select(*keys, "pos", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size("_w") - F.col("pos"))).alias("n"), "_w")
+    grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w", "_g").select(*keys, "pos", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size("_w") - F.col("pos"))).alias("n"), "_w", "_g")
+    if protected:
+        grams = grams.where(~F.array_contains(F.slice("_g", F.col("pos") + 1, F.col("n")), True))
     grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
     hits = grams.join(checked_broadcast(d), "_key").drop("_key")
     by = Window.partitionBy(*keys).orderBy("pos", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,17 +131,34 @@ def unify_terms(texts: DataFrame, groups: DataFrame, doc: str, order: str, text:
     return per.join(others, [doc, "group_id"]).select(doc, "group_id", "chosen", F.col(f"_at.{order}").alias("first_order"), F.col("_at.pos").alias("first_pos"), "mentions", "replaced")
 
 
-def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Texts with every variant, as a whole word and in its own case, replaced by its entity: variants(entity, variant), longest first."""
+def unify_texts(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text", protected: str | None = QUOTED) -> DataFrame:
+    """Texts in which all terms of a group of synonyms read as the one that their document mentions first: groups(group_id, ord, term).
+
+    Mentions in quotations neither count nor change; protected=None has them do both. The chosen
+    term's own mentions keep their case.
+    """
+    h = dictionary_hits(texts.where(F.col(text).isNotNull()), groups.select("group_id", "ord", "term"), [doc, order], text, "term", protected=protected)
+    chosen = h.groupBy(doc, "group_id").agg(F.min_by("term", F.struct(F.col(order), F.col("pos"), F.col("ord"))).alias("chosen"))
+    change = h.join(chosen, [doc, "group_id"]).where(F.lower("term") != F.lower("chosen"))
+    return _replaced(texts, change, [doc, order], text, "chosen")
+
+
+def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], text: str = "text", protected: str | None = QUOTED) -> DataFrame:
+    """Texts with every variant outside quotations, as a whole word and in its own case, replaced by its entity: variants(entity, variant), longest first."""
     d = variants.where("variant <> entity")
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), d, keys, text, "variant", fold=False)
-    per = h.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "entity"))).alias("_h"))
+    h = dictionary_hits(texts.where(F.col(text).isNotNull()), d, keys, text, "variant", fold=False, protected=protected)
+    return _replaced(texts, h, keys, text, "entity")
+
+
+def _replaced(texts: DataFrame, hits: DataFrame, keys: list[str], text: str, by: str) -> DataFrame:
+    """Texts with the words of each hit(keys, pos, n) replaced by its column `by`."""
+    per = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "n", F.col(by).alias("by")))).alias("_h"))
     t = texts.join(per, keys, "left")
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))
 
     def piece(word: Column, i: Column) -> Column:
         at = F.get(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 0)
-        return F.when(at.isNull(), F.concat(F.element_at(gaps, i + 1), word)).when(i == at["pos"], F.concat(F.element_at(gaps, i + 1), at["entity"])).otherwise(F.lit(""))
+        return F.when(at.isNull(), F.concat(F.element_at(gaps, i + 1), word)).when(i == at["pos"], F.concat(F.element_at(gaps, i + 1), at["by"])).otherwise(F.lit(""))
 
     new = F.concat(F.array_join(F.transform(w, piece), ""), F.element_at(gaps, -1))
     return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(new).alias(text))

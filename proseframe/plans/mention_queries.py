@@ -90,6 +90,11 @@ def synonym_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("doc_id", "group_id", "chosen", "first_order", "first_pos", "mentions")
 
 
+@query()
+def synonym_unified(spark: SparkSession, sf: str) -> DataFrame:
+    return mn.unify_texts(paragraphs(spark, sf, "text"), dims.state_synonyms(spark), "doc_id", "para_idx")
+
+
 @query("SELECT c_custkey AS k, concat('China and China met ', c_name, '; the United States, PRCX and prc.') AS text FROM customer")
 def variant_canonical(spark: SparkSession, sf: str) -> DataFrame:
     t = F.concat(F.lit("People's Republic of China and PRC met "), "c_name", F.lit("; the United States of America, PRCX and prc."))

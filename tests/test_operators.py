@@ -33,6 +33,22 @@ def test_synonyms_and_variants(spark):
     assert got == "The Ulema Council, a Ulema Council; council"
 
 
+def test_unified_texts(spark):
+    rows = [("a", 0, "South Korea, “the ROK” and 'PRC'."), ("a", 1, 'The ROK, "South Korea" and south korea; Republic of Korea!'), ("b", 0, '"ROK" and Republic "of Korea", dprk'), ("b", 1, "The ROK, PRC's, South Korea"), ("b", 2, None), ("b", 3, ""), ("b", 4, "none")]
+    d = spark.createDataFrame(rows, "doc string, i int, text string")
+    got = {(r["doc"], r["i"]): r["text"] for r in mentions.unify_texts(d, dims.state_synonyms(spark), "doc", "i").collect()}
+    assert got == {r[:2]: r[2] for r in rows} | {("a", 1): 'The South Korea, "South Korea" and south korea; South Korea!', ("b", 1): "The ROK, PRC's, ROK"}
+    all_of_it = {(r["doc"], r["i"]): r["text"] for r in mentions.unify_texts(d, dims.state_synonyms(spark), "doc", "i", protected=None).collect()}
+    assert all_of_it["a", 0] == "South Korea, “the South Korea” and 'PRC'."
+
+
+def test_variants_outside_quotes(spark):
+    v = spark.createDataFrame([("China", "PRC"), ("China", "People's Republic of China")], "entity string, variant string")
+    t = "PRC and \"PRC\", “the People's Republic of China” and People's Republic of China, 'PRC' PRC"
+    got = mentions.canonical_variants(spark.createDataFrame([(1, t)], "k int, text string"), v, ["k"]).first()["text"]
+    assert got == "China and \"PRC\", “the People's Republic of China” and China, 'PRC' China"
+
+
 def test_nested_and_usa(spark):
     d = spark.createDataFrame([("Term (Term (ABBR))", "Term (ABBR)"), ("Term (Term)", "Term"), ("The United States of America", "The United States of America (USA)")], "t string, w string")
     assert all(r["o"] == r["w"] for r in d.select("w", mentions.usa_special_case(mentions.clean_nested(F.col("t"))).alias("o")).collect())
