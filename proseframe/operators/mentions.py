@@ -69,8 +69,8 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], te
     """Places in the texts where dictionary terms occur as whole words, longest first, without overlaps.
 
     texts has keys and text, dictionary has term and any other columns. Result: keys, pos (word
-    number from 0), n (words), and the dictionary's columns. A place inside a longer hit is dropped,
-    and so is one with a word in a match of the protected pattern.
+    number from 0), n (words), and the dictionary's columns. A place that overlaps an earlier kept hit
+    is dropped, and so is one with a word in a match of the protected pattern.
     """
     low = (lambda c: F.lower(c)) if fold else (lambda c: c)
     guard = protected_words(F.col(text), protected) if protected else F.lit(None).cast("array<boolean>")
@@ -82,9 +82,19 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], te
         grams = grams.where(~F.array_contains(F.slice("_g", F.col("pos") + 1, F.col("n")), True))
     grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
     hits = grams.join(checked_broadcast(d), "_key").drop("_key")
-    by = Window.partitionBy(*keys).orderBy("pos", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # a hit is inside an earlier one if that ends beyond its start
-    return hits.withColumn("_end", F.max(F.col("pos") + F.col("n")).over(by)).where("_end IS NULL OR _end <= pos").drop("_end")
+    # runs of hits that overlap in a chain: one begins where no earlier hit ends beyond
+    rest = [c for c in hits.columns if c not in (*keys, "pos", "n")]
+    by = Window.partitionBy(*keys).orderBy("pos", F.col("n").desc(), *rest)
+    end = F.max(F.col("pos") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("_new", F.coalesce((end <= F.col("pos")).cast("int"), F.lit(1)))
+    hits = hits.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    # within a run, a hit is kept if the last one kept ends before it
+    hit = F.struct("pos", (-F.col("n")).alias("less"), *rest)
+    runs = hits.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(hit)).alias("_all"))
+    none = F.filter("_all", lambda x: F.lit(False))
+    ends = lambda x: x["pos"] - x["less"]
+    kept = F.aggregate("_all", none, lambda k, x: F.when((F.size(k) == 0) | (ends(F.get(k, F.size(k) - 1)) <= x["pos"]), F.concat(k, F.array(x))).otherwise(k))
+    return runs.select(*keys, F.explode(kept).alias("_x")).select(*keys, "_x.pos", (-F.col("_x.less")).alias("n"), *[f"_x.{c}" for c in rest])
 
 
 def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:

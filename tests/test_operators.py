@@ -1,5 +1,7 @@
 """Operators on small tables."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,25 @@ def test_synonyms_and_variants(spark):
     assert got == "The Ulema Council, a Ulema Council; council"
 
 
+def test_hits_that_overlap_in_a_chain(spark):
+    terms = ["a b c", "c d e", "e f", "f", "a b", "g", "g h", "h i", "i"]
+    d = spark.createDataFrame([(t,) for t in terms], "term string")
+    rng = random.Random(2)
+    texts = ["a b c d e f", "g h i"] + [" ".join(rng.choice("abcdefghi") for _ in range(40)) for _ in range(30)]
+    texts += ["a b c d e f g h i " * 20]
+    want = set()
+    for k, t in enumerate(texts):
+        w, end = t.split(), 0
+        for i in range(len(w)):
+            n = max((n for n in (1, 2, 3) if i + n <= len(w) and " ".join(w[i : i + n]) in terms), default=0)
+            if n and i >= end:
+                want.add((k, i, n, " ".join(w[i : i + n])))
+                end = i + n
+    got = [tuple(r) for r in mentions.dictionary_hits(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), d, ["k"], "text", "term").select("k", "pos", "n", "term").collect()]
+    assert {x[1:] for x in want if x[0] == 0} == {(0, 3, "a b c"), (4, 2, "e f")}
+    assert sorted(got) == sorted(want)
+
+
 def test_unified_texts(spark):
     rows = [("a", 0, "South Korea, “the ROK” and 'PRC'."), ("a", 1, 'The ROK, "South Korea" and south korea; Republic of Korea!'), ("b", 0, '"ROK" and Republic "of Korea", dprk'), ("b", 1, "The ROK, PRC's, South Korea"), ("b", 2, None), ("b", 3, ""), ("b", 4, "none")]
     d = spark.createDataFrame(rows, "doc string, i int, text string")
