@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 TAGS = {"w:p": "p", "w:r": "r", "w:footnote": "note", "w:endnote": "note", "w:tc": "cell", "w:txbxContent": "box", "w:t": "t"}
 NODE_SCHEMA = "rec_id long, node_no int, parent_no int, kind string, tag string, depth int, p_no int, r_no int, holder string, attr_id string, style string, text string, bold boolean"
 ARROW_SCHEMA = pa.schema([("rec_id", pa.int64()), ("node_no", pa.int32()), ("parent_no", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("depth", pa.int32()), ("p_no", pa.int32()), ("r_no", pa.int32()), ("holder", pa.string()), ("attr_id", pa.string()), ("style", pa.string()), ("text", pa.string()), ("bold", pa.bool_())])
+SLICE_BYTES = 4 << 20  # records are worked on in slices of about so many bytes, to bound the memory of the bitmaps
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 13]] = True
 _KIND = np.zeros(256, np.uint8)
@@ -227,7 +228,7 @@ def _ranks(group: np.ndarray) -> np.ndarray:
     return rank
 
 
-def flatten_batch(rec_id: pa.Array, body: pa.Array, texts: bool = True) -> pa.RecordBatch:
+def flatten_batch(rec_id: pa.Array, body: pa.Array) -> pa.RecordBatch:
     """The nodes of a batch of records."""
     body = _unwrapped(body)
     off = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8)
@@ -248,11 +249,10 @@ def flatten_batch(rec_id: pa.Array, body: pa.Array, texts: bool = True) -> pa.Re
     direct = value & in_object
     key[direct] = np.flatnonzero(direct) - 2
     item = value & (container >= 0) & ~in_object
-    for _ in range(64):  # lists in lists
-        todo = item & (key < 0) & (key[parent] >= 0)
-        if not todo.any():
-            break
-        key[todo] = key[parent[todo]]
+    outer = np.where(item, container, np.arange(n))  # of lists in lists the outermost, by pointer doubling
+    while (outer[outer] != outer).any():
+        outer = outer[outer]
+    key[item] = key[outer[item]]
     # tags
     names = {t: np.zeros(n, bool) for t in [*TAGS, "@w:id", "w:pStyle", "@w:val", "#text", "w:b"]}
     keys = np.flatnonzero(is_key)
@@ -260,13 +260,10 @@ def flatten_batch(rec_id: pa.Array, body: pa.Array, texts: bool = True) -> pa.Re
         names[t][keys] = _same(raw, at[keys] + 1, end[keys] - 1, t)
     has_key = value & (key >= 0)
     safe = np.maximum(key, 0)
-    node_kind = np.full(n, "", dtype=object)
-    wanted = np.zeros(n, bool)
-    for t, k in TAGS.items():
-        m = has_key & names[t][safe] & (kind != OPEN_A)
-        node_kind[m] = k
-        wanted |= m
-    wanted &= ~bad[row]
+    tag = np.full(n, -1, np.int8)
+    for i, t in enumerate(TAGS):
+        tag[has_key & names[t][safe] & (kind != OPEN_A) & ~bad[row]] = i
+    of_kind = lambda *kinds: np.isin(tag, [i for i, k in enumerate(TAGS.values()) if k in kinds])
     # nearest ancestors, by pointer doubling over containers
     def nearest(good: np.ndarray) -> np.ndarray:
         """Of each token the nearest container (not itself) in good, else -1."""
@@ -280,81 +277,93 @@ def flatten_batch(rec_id: pa.Array, body: pa.Array, texts: bool = True) -> pa.Re
         res = jump[up]
         return np.where(res == n, -1, res)
 
-    is_p, is_r, is_t = (wanted & (node_kind == k) for k in "prt")
-    holders = wanted & np.isin(node_kind, ["cell", "box", "note"])
-    nodes = wanted & ~is_t
-    p_of, h_of, n_of = nearest(is_p), nearest(holders), nearest(nodes)
-    p_at = np.flatnonzero(is_p)
+    is_p, is_r, is_t, is_note = (of_kind(k) for k in ("p", "r", "t", "note"))
+    holders = of_kind("cell", "box", "note")
+    nodes = (tag >= 0) & ~is_t
+    p_of, r_of, h_of, n_of = nearest(is_p), nearest(is_r), nearest(holders), nearest(nodes)
     p_no = np.full(n, -1)
-    p_no[p_at] = _ranks(row[p_at])
-    r_at = np.flatnonzero(is_r)
+    p_no[is_p] = _ranks(row[is_p])
     r_no = np.full(n, -1)
-    has_p = p_of[r_at] >= 0
-    r_in = r_at[has_p]
+    r_in = np.flatnonzero(is_r & (p_of >= 0))
     r_no[r_in] = _ranks(p_of[r_in])
-    # attributes: "@w:id" of notes, style of paragraphs, bold of runs, texts of runs
-    attr: dict[int, str] = {}
-    for v in np.flatnonzero(has_key & names["@w:id"][safe] & direct & ~bad[row]):
-        if node_kind[container[v]] == "note":
-            text = _string(raw, at[v] + 1, end[v] - 1) if kind[v] == STRING else raw[at[v] : end[v]].tobytes().decode()
-            attr[container[v]] = text.strip()
     at_node = np.flatnonzero(nodes)
+    m = len(at_node)
     number = np.full(n, -1)
     number[at_node] = _ranks(row[at_node])
-    m = len(at_node)
-    hold = np.full(m, "body", dtype=object)
-    own_p = np.where(is_p[at_node], at_node, np.where(is_r[at_node], p_of[at_node], -1))
-    hp = np.where(own_p >= 0, h_of[np.maximum(own_p, 0)], -1)
-    hk = node_kind[np.maximum(hp, 0)]
-    hold[(hp >= 0) & (hk == "cell")] = "cell"
-    hold[(hp >= 0) & (hk == "box")] = "box"
-    for i in np.flatnonzero((hp >= 0) & (hk == "note")):
-        hold[i] = "note:" + attr.get(hp[i], "")
-    hold[own_p < 0] = None
-    style, bold, text = np.full(m, None, dtype=object), np.full(m, None, dtype=object), np.full(m, None, dtype=object)
     place = np.full(n, -1)
     place[at_node] = np.arange(m)
-    if texts:
-        for v in np.flatnonzero(has_key & names["@w:val"][safe] & direct & (kind == STRING) & ~bad[row]):
-            holder_key = key[container[v]]
-            if holder_key >= 0 and names["w:pStyle"][holder_key] and (o := _closest(container, container[v], is_p)) >= 0:
-                style[place[o]] = _string(raw, at[v] + 1, end[v] - 1)
-        for v in np.flatnonzero(has_key & names["w:b"][safe] & ~bad[row]):
-            if (o := _closest(container, v, is_r)) >= 0:
-                off_ = kind[v] == LITERAL and raw[at[v] : end[v]].tobytes() in (b"false", b"0")
-                if kind[v] == OPEN_O and partner[v] - v == 4 and kind[v + 3] in (STRING, LITERAL):
-                    off_ = raw[at[v + 3] : end[v + 3]].tobytes().strip(b'"') in (b"0", b"false", b"off")
-                bold[place[o]] = not off_
-        parts: dict[int, list[str]] = {}
-        leaf = (is_t & (kind == STRING)) | (has_key & names["#text"][safe] & (kind == STRING) & ~bad[row])
-        r_of = nearest(is_r)
-        t_of = nearest(is_t)
-        for v in np.flatnonzero(leaf & (r_of >= 0)):
-            if is_t[v] or t_of[v] >= 0:
-                parts.setdefault(place[r_of[v]], []).append(_string(raw, at[v] + 1, end[v] - 1))
-        for i, x in parts.items():
-            text[i] = "".join(x)
-    ids = rec_id.take(pa.array(row[at_node]))
+    quoted = kind == STRING
+    spans = lambda v: _strings(raw, at[v] + quoted[v], end[v] - quoted[v])
+    named = lambda word: has_key & names[word][safe] & ~bad[row]
+    # ids of notes
+    v = np.flatnonzero(named("@w:id") & direct & ((kind == STRING) | (kind == LITERAL)))
+    v = v[is_note[container[v]]]
+    ids = _scattered(place[container[v]], pc.utf8_trim_whitespace(spans(v)), m)
+    # the holder of a paragraph is that of its runs too
+    own_p = np.where(is_p[at_node], at_node, np.where(is_r[at_node], p_of[at_node], -1))
+    hp = np.where(own_p >= 0, h_of[np.maximum(own_p, 0)], -1)
+    notes = np.flatnonzero(is_note)
+    of_note = np.zeros(n, int)
+    of_note[notes] = np.arange(len(notes))
+    note_names = pc.binary_join_element_wise("note:", pc.fill_null(ids.take(pa.array(place[notes])), ""), "")
+    which = np.where(hp < 0, 0, np.where(of_kind("cell")[hp], 1, np.where(of_kind("box")[hp], 2, 3 + of_note[hp])))
+    holder = pa.concat_arrays([pa.array(["body", "cell", "box"]), note_names.cast(pa.string())]).take(pa.array(which, mask=own_p < 0))
+    # styles: the value beside or under a paragraph's w:pStyle, the last of several
+    v = np.flatnonzero(named("@w:val") & direct & quoted)
+    v = v[(key[container[v]] >= 0) & names["w:pStyle"][key[container[v]]] & (p_of[container[v]] >= 0)]
+    style = _scattered(place[p_of[container[v]]], spans(v), m)
+    # w:b is on unless its own or its only attribute's value says off
+    v = np.flatnonzero(named("w:b") & (r_of >= 0))
+    only = (kind[v] == OPEN_O) & (partner[v] - v == 4)
+    w = np.where(only, np.minimum(v + 3, n - 1), v)
+    said = lambda x: _same(raw, at[w] + quoted[w], end[w] - quoted[w], x)
+    value_off = (said("0") | said("false")) & (only | (kind[v] == LITERAL)) | said("off") & only
+    bold = np.zeros(m, np.int8)
+    bold[place[r_of[v]]] = np.where(value_off, 1, 2)
+    # texts: the strings in a run's w:t elements, joined in reading order
+    t_of = nearest(is_t)
+    v = np.flatnonzero(quoted & (r_of >= 0) & (is_t | named("#text") & (t_of >= 0)))
+    v = v[np.argsort(place[r_of[v]], kind="stable")]
+    runs_with, first = np.unique(place[r_of[v]], return_index=True)
+    text = _scattered(runs_with, _joined_strings(spans(v), first), m)
     no = lambda x: pa.array(x, pa.int32(), mask=x < 0)
     up = n_of[at_node]
-    kinds = node_kind[at_node]
-    tag_of = {"p": "w:p", "r": "w:r", "note": "w:footnote", "cell": "w:tc", "box": "w:txbxContent"}
-    r_numbers = r_no[at_node]
+    pick = lambda words: pa.array(words).take(pa.array(tag[at_node]))
     return pa.RecordBatch.from_arrays([
-        ids.cast(pa.int64()), pa.array(number[at_node], pa.int32()), no(np.where(up >= 0, number[np.maximum(up, 0)], -1)), pa.array(kinds, pa.string()), pa.array([tag_of[k] for k in kinds], pa.string()),
-        pa.array(s["depth"][at_node], pa.int32()), no(np.where(own_p >= 0, p_no[np.maximum(own_p, 0)], -1)), no(r_numbers), pa.array(hold, pa.string()), pa.array([attr.get(i) for i in at_node], pa.string()),
-        pa.array(style, pa.string()), pa.array(text, pa.string()), pa.array(bold, pa.bool_()),
+        rec_id.take(pa.array(row[at_node])).cast(pa.int64()), pa.array(number[at_node], pa.int32()), no(np.where(up >= 0, number[up], -1)), pick(list(TAGS.values())), pick(list(TAGS)),
+        pa.array(s["depth"][at_node], pa.int32()), no(np.where(own_p >= 0, p_no[own_p], -1)), no(r_no[at_node]), holder, ids, style, text, pa.array(bold == 2, pa.bool_(), mask=bold == 0),
     ], schema=ARROW_SCHEMA)
 
 
-def _closest(container: np.ndarray, v: int, good: np.ndarray) -> int:
-    v = container[v]
-    while v >= 0 and not good[v]:
-        v = container[v]
-    return v
+def _strings(raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as strings; only those with escapes are looked at one by one."""
+    size = end - at
+    off = np.concatenate([[0], np.cumsum(size)])
+    body = raw[np.repeat(at - off[:-1], size) + np.arange(off[-1])]
+    out = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes()))
+    slashes = np.concatenate([[0], np.cumsum(body == 92)])
+    odd = slashes[off[1:]] > slashes[off[:-1]]
+    if odd.any():
+        out = pc.replace_with_mask(out, pa.array(odd), pa.array([_string(raw, a, b) for a, b in zip(at[odd], end[odd])], pa.large_string()))
+    return out
+
+
+def _joined_strings(parts: pa.Array, first: np.ndarray) -> pa.Array:
+    """Neighbouring strings joined; first has the number of each result's first part."""
+    if len(parts) == 0:
+        return parts
+    off = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1, parts.offset * 8)
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(off[np.concatenate([first, [len(parts)]])].tobytes()), parts.buffers()[2])
+
+
+def _scattered(place: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """An array of n strings with the values at their places, the last of several, else null."""
+    which = np.full(n, -1)
+    which[place] = np.arange(len(place))
+    return values.take(pa.array(which, mask=which < 0)).cast(pa.string())
 
 
-def nested_nodes(df: DataFrame, rec_id: str = "rec_id", body: str = "body_json", texts: bool = True) -> DataFrame:
+def nested_nodes(df: DataFrame, rec_id: str = "rec_id", body: str = "body_json") -> DataFrame:
     """One row for each paragraph, run, footnote, cell and box of each readable record, with its parent's number.
 
     Only the two columns are read. A repeated record's rows are dropped after flattening, so that
@@ -363,7 +372,10 @@ def nested_nodes(df: DataFrame, rec_id: str = "rec_id", body: str = "body_json",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield flatten_batch(b.column(0), b.column(1), texts)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1 if len(size) else []
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
+                yield flatten_batch(b.column(0).slice(a, z - a), b.column(1).slice(a, z - a))
 
     only = df.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(body).alias("body")).where("rec_id IS NOT NULL AND body IS NOT NULL")
     return only.mapInArrow(run, NODE_SCHEMA).dropDuplicates(["rec_id", "node_no"])
@@ -380,4 +392,4 @@ def flat_tables(nodes: DataFrame) -> dict[str, DataFrame]:
 
 def runs_of_records(df: DataFrame) -> DataFrame:
     """(rec_id, p_no, r_no, holder) of each run in a readable record."""
-    return flat_tables(nested_nodes(df, texts=False))["runs"].select("rec_id", "p_no", "r_no", "holder")
+    return flat_tables(nested_nodes(df))["runs"].select("rec_id", "p_no", "r_no", "holder")

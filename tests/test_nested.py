@@ -135,3 +135,29 @@ def test_table(spark):
     t = nested.flat_tables(nested.nested_nodes(d))
     assert t["paragraphs"].count() == 1 and t["footnotes"].count() == 0
     assert nested.runs_of_records(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lists", [1, 64, 65, 500])
+def test_lists_in_lists(lists):
+    body = json.dumps({"w:p": {"w:r": 0}}).replace("0", "[" * lists + '{"w:t": "x"}, {}' + "]" * lists)
+    rows = [r for r in flat([body]) if r["kind"] == "r"]
+    assert [(r["p_no"], r["r_no"], r["text"]) for r in rows] == [(0, 0, "x"), (0, 1, None)]
+
+
+def test_tags_styles_and_bold():
+    body = json.dumps({"children": [
+        {"w:endnote": {"@w:id": 7, "w:p": {"w:r": [{"w:rPr": {"w:b": False}}, {"w:rPr": {"w:b": {"@w:val": "off"}}}, {"w:rPr": {"w:b": {"@w:val": 1}}}]}}},
+        {"w:footnote": {"w:p": {"w:pPr": {"w:pStyle": {"@w:val": "First"}}, "w:r": {"w:t": ["a", {"#text": "\\u00e9"}, None, "b"]}}}},
+        {"w:p": {"w:pPr": [{"w:pStyle": {"@w:val": "One"}}, {"w:pStyle": {"@w:val": "Two"}}]}},
+    ]}).replace("\\\\u", "\\u")
+    rows = flat([body])
+    assert [(r["tag"], r["attr_id"]) for r in rows if r["kind"] == "note"] == [("w:endnote", "7"), ("w:footnote", None)]
+    assert [r["bold"] for r in rows if r["kind"] == "r"] == [False, False, True, None]
+    assert [r["text"] for r in rows if r["kind"] == "r"] == [None, None, None, "aéb"]
+    assert [(r["holder"], r["style"]) for r in rows if r["kind"] == "p"] == [("note:7", None), ("note:", "First"), ("body", "Two")]
+
+
+def test_slices_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(nested, "SLICE_BYTES", 50)
+    d = spark.createDataFrame([(i, GOOD[0] if i % 3 else None) for i in range(40)], "rec_id long, body_json string")
+    assert nested.runs_of_records(d).count() == 26
