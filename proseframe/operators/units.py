@@ -97,17 +97,18 @@ def compose_conversions(edges: Iterable[tuple[str, str, float, float]], canonica
     return found
 
 
-def conversion_table(spark: SparkSession, fx: DataFrame | None = None, max_rates: int = 10_000) -> DataFrame:
-    """(unit, canonical, kind, a, b). fx(code, to_sgd) adds a money edge for each positive rate; it may hold at most max_rates rows."""
-    edges = list(EDGES)
-    if fx is not None:
-        rates = fx.where("code IS NOT NULL AND to_sgd > 0").groupBy(F.upper(F.trim("code")).alias("code")).agg(F.max(F.col("to_sgd").cast("double")).alias("r")).limit(max_rates + 1).collect()
-        if len(rates) > max_rates:
-            raise ValueError(f"more than {max_rates} rates")
-        edges += [(x["code"], "SGD", x["r"], 0.0) for x in rates if x["code"] != "SGD"]
+def conversion_table(spark: SparkSession, fx: DataFrame | None = None) -> DataFrame:
+    """(unit, canonical, kind, a, b). fx(code, to_sgd) adds a money edge for each positive rate; each leads
+    straight to the canonical currency, so it is its own shortest composition and closes no cycle, and
+    rates, however many, are never collected."""
     kind = {u: k for k, u in CANONICAL.items()}
-    rows = [(u, c, kind[c], a, b) for u, (c, a, b) in sorted(compose_conversions(edges, CANONICAL.values()).items())]
-    return spark.createDataFrame(rows, "unit string, canonical string, kind string, a double, b double")
+    rows = [(u, c, kind[c], a, b) for u, (c, a, b) in sorted(compose_conversions(EDGES, CANONICAL.values()).items())]
+    known = spark.createDataFrame(rows, "unit string, canonical string, kind string, a double, b double")
+    if fx is None:
+        return known
+    code = F.upper(F.trim("code"))
+    rates = fx.where(F.col("code").isNotNull() & (F.col("to_sgd") > 0) & ~code.isin([u for u, *_ in rows])).groupBy(code.alias("unit")).agg(F.max(F.col("to_sgd").cast("double")).alias("a"))
+    return known.unionByName(rates.select("unit", F.lit(CANONICAL["money"]).alias("canonical"), F.lit("money").alias("kind"), "a", F.lit(0.0).alias("b")))
 
 
 @lru_cache(maxsize=1)
@@ -120,7 +121,8 @@ def _grammar() -> dict:
     money = [n for n, u in unit_of.items() if u in MONEY]
     longest = lambda xs: "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in sorted(xs, key=lambda x: (-len(x), x)))
     words = "|".join(sorted([*UNITS_AS_WORDS, "hundred", "thousand"], key=lambda x: -len(x)))
-    number = r"[+\-−]?\s?(?:\d{1,3}(?:[ ,']\d{2,3})*[ ,']\d{3}(?!\d)|\d+)(?:\.\d+)?(?:[eE][+\-]?\d+|\s?[×x]\s?10\s?\^\s?[+\-−]?\d+)?"
+    # thousands or lakhs set apart, points between thousands and a decimal comma, a decimal comma before one or two digits, or plain
+    number = r"[+\-−]?\s?(?:\d{1,3}(?:[ ,']\d{2,3})*[ ,']\d{3}(?!\d)|\d{1,3}(?:\.\d{3})+,\d+|\d+,\d{1,2}(?![\d,]|\.\d)|\d+)(?:\.\d+)?(?:[eE][+\-]?\d+|\s?[×x]\s?10\s?\^\s?[+\-−]?\d+)?"
     spelt = rf"(?:{words})(?:(?:-|\s+and\s+|\s+)(?:{words}))*"
     plain, long_ = longest(unit_of), longest(SCALES)
     short = longest(SHORT)
@@ -156,9 +158,11 @@ def _words_value(text: str) -> float:
 
 
 def _digits_value(text: str) -> float:
-    s = re.sub(r"[ ,']", "", text).replace("−", "-").lower()
-    s = re.sub(r"[×x]10\^", "e", s)
-    return float(s)
+    s = re.sub(r"[×x]10\^", "e", re.sub(r"\s", "", text).replace("−", "-").lower())
+    body, e, power = s.partition("e")
+    if re.fullmatch(r"[+-]?(?:\d+|\d{1,3}(?:\.\d{3})+),\d+", body) and not re.fullmatch(r"[+-]?\d{1,3},\d{3}", body):  # a decimal comma
+        body = body.replace(".", "").replace(",", ".")
+    return float(re.sub(r"[,']", "", body) + e + power)
 
 
 def _scale(name: str | None) -> float:
@@ -179,70 +183,101 @@ def parse_note(note: str | None) -> tuple[str, float] | None:
     return (_unit(m["unit"]), _scale(m["s1"]) * _scale(m["s2"])) if m else None
 
 
-def parse_quantity(text: str | None, note: str | None = None) -> tuple[float, str] | None:
-    """(number with its scale, unit) that the text states; the note gives the unit of a text that has none."""
+def parse_quantities(text: str | None, note: str | None = None) -> list[tuple[float, str]]:
+    """(number with its scale, unit) of each quantity that the text states, in its order; the note gives the unit of the first number of a text that has none."""
     if not text:
-        return None
+        return []
     g, t = _grammar(), clean(text)
-    first = None
+    found, first = [], None
     for m in g["number"].finditer(t):
         if m["words"] and not re.search(r"[a-z]", m["words"], re.I):
             continue
         value = lambda m=m: _digits_value(m["digits"]) if m["digits"] else _words_value(m["words"])
         if before := g["money_before"].search(t[: m.start()]):
             tail = g["money_tail"].match(t, m.end())
-            return value() * _scale(tail and tail["scale"]), _unit(before["unit"])
-        if tail := g["money_after"].match(t, m.end()):
-            return value() * _scale(tail["scale"]), _unit(tail["unit"])
-        if tail := g["tail"].match(t, m.end()):
-            return value() * _scale(tail["scale"]), _unit(tail["unit"])
-        first = first or (m, value)
-    by = parse_note(note)
-    if not first or not by:
-        return None
-    m, value = first
-    own = g["scale_only"].match(t, m.end())
-    return value() * (_scale(own["scale"]) if own else by[1]), by[0]
+            found.append((value() * _scale(tail and tail["scale"]), _unit(before["unit"])))
+        elif tail := g["money_after"].match(t, m.end()) or g["tail"].match(t, m.end()):
+            found.append((value() * _scale(tail["scale"]), _unit(tail["unit"])))
+        else:
+            first = first or (m, value)
+    by = None if found or not first else parse_note(note)
+    if by:
+        m, value = first
+        own = g["scale_only"].match(t, m.end())
+        found.append((value() * (_scale(own["scale"]) if own else by[1]), by[0]))
+    return found
+
+
+def parse_quantity(text: str | None, note: str | None = None) -> tuple[float, str] | None:
+    """The first quantity that the text states."""
+    return next(iter(parse_quantities(text, note)), None)
 
 
 PARSED = T.StructType([T.StructField("number", T.DoubleType()), T.StructField("unit", T.StringType())])
 
 
-@F.pandas_udf(PARSED)
-def _parse(text: pd.Series, note: pd.Series) -> pd.DataFrame:
-    got = [parse_quantity(t, n) or (None, None) for t, n in zip(text, note)]
-    return pd.DataFrame(got, columns=["number", "unit"])
+@F.pandas_udf(T.ArrayType(PARSED))
+def _parse(text: pd.Series, note: pd.Series) -> pd.Series:
+    return pd.Series([[{"number": n, "unit": u} for n, u in parse_quantities(t, by)] for t, by in zip(text, note)])
 
 
-def with_quantities(df: DataFrame, conversions: DataFrame, text: str = "text", note: str = "unit_note") -> DataFrame:
-    """df with kind, number, unit, canonical and value; null where the text states no quantity.
+def with_quantities(df: DataFrame, conversions: DataFrame, text: str = "text", note: str = "unit_note", every: bool = False) -> DataFrame:
+    """df with kind, number, unit, canonical and value of the first quantity that the text states; null where it states none.
+
+    every=True gives a row for each quantity of a text, or one row of nulls.
 
     Units are few, so a join by shuffle would put most rows into a few tasks: the conversions, of counted size, are broadcast.
     """
     c = conversions.select(F.col("unit").alias("__unit_u"), F.col("canonical").alias("__unit_c"), F.col("kind").alias("__unit_k"), F.col("a").alias("__unit_a"), F.col("b").alias("__unit_b"))
-    d = df.withColumn("__unit_q", _parse(F.col(text), F.col(note))).withColumn("__unit_qu", F.col("__unit_q.unit"))
+    all_ = _parse(F.col(text), F.col(note))
+    d = df.withColumn("__unit_q", F.explode_outer(all_) if every else F.get(all_, F.lit(0))).withColumn("__unit_qu", F.col("__unit_q.unit"))
     d = d.join(checked_broadcast(c), F.col("__unit_qu") == F.col("__unit_u"), "left")
     out = {"quantity_kind": F.col("__unit_k"), "stated_number": F.col("__unit_q.number"), "stated_unit": F.col("__unit_q.unit"), "canonical_unit": F.col("__unit_c"), "value": F.col("__unit_q.number") * F.col("__unit_a") + F.col("__unit_b")}
     keep = [x for x in df.columns if x not in out]
     return d.select(*keep, *(v.alias(k) for k, v in out.items()))
 
 
-def agreeing_pairs(df: DataFrame, key: str, group: str, value: str = "value", kind: str = "quantity_kind", ratio: float = 1.01) -> DataFrame:
-    """(a, b): different keys of one group and kind whose values agree, the larger at most ratio times the smaller.
+def _stated(df: DataFrame, key: str, group: str, value: str, kind: str) -> DataFrame:
+    """(k, g, q, v): each key once."""
+    v = F.col(value)
+    base = df.where(v.isNotNull() & ~F.isnan(v) & F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(kind).alias("q"), v.alias("v"))
+    return base.groupBy("k", "g").agg(F.min(F.struct("q", "v")).alias("s")).select("k", "g", "s.q", "s.v")
+
 
-    The values are binned by logarithm, a bin as wide as the ratio, and joined by (group, kind, bin)
-    with their own and the next bin: a group that holds a third of all rows is spread over its bins,
-    and only values close to each other ever meet.
+def agreeing_values(stated: DataFrame, ratio: float = 1.01) -> DataFrame:
+    """(g, q, v1, v2), v1 < v2, of each two different values of one group and kind that agree: the larger is at most ratio times the smaller.
+
+    Equal values meet as one, however often they are stated. The values are binned by logarithm, a
+    bin as wide as the ratio, and joined by (group, kind, bin) with their own and the next bin: a
+    group that holds a third of all rows is spread over its bins, and only values close to each
+    other ever meet.
     """
     width = math.log(ratio) * (1 + 1e-9)
-    v = F.col(value)
-    base = df.where(v.isNotNull() & ~F.isnan(v) & F.col(group).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(kind).alias("q"), v.alias("v"))
-    base = base.groupBy("k", "g").agg(F.min(F.struct("q", "v")).alias("s")).select("k", "g", "s.q", "s.v")
-    sign, size = F.signum("v"), F.abs(F.col("v"))
-    base = base.withColumn("bin", F.when(size > 0, F.floor(F.log(size) / width)).otherwise(F.lit(0)).cast("long")).withColumn("sg", sign)
-    left = base.select("g", "q", "sg", F.col("k").alias("k1"), F.col("v").alias("v1"), F.explode(F.when(F.col("sg") == 0, F.array("bin")).otherwise(F.array(F.col("bin"), F.col("bin") + 1))).alias("b"), F.col("bin").alias("b1"))
-    right = base.select("g", "q", "sg", F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("bin").alias("b"))
-    both = left.join(right, ["g", "q", "sg", "b"])
-    near = F.greatest(F.abs("v1"), F.abs("v2")) <= F.least(F.abs("v1"), F.abs("v2")) * ratio * (1 + 1e-12)
-    once = (F.col("b1") < F.col("b")) | (F.col("k1") < F.col("k2"))
-    return both.where(near & once & (F.col("k1") != F.col("k2"))).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
+    size = F.abs("v")
+    values = stated.where("v <> 0").select("g", "q", "v").distinct().withColumn("bin", F.floor(F.log(size) / width).cast("long")).withColumn("sg", F.signum("v"))
+    left = values.select("g", "q", "sg", F.col("v").alias("va"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("b"), F.col("bin").alias("own"))
+    right = values.select("g", "q", "sg", F.col("v").alias("vb"), F.col("bin").alias("b"))
+    near = F.greatest(F.abs("va"), F.abs("vb")) <= F.least(F.abs("va"), F.abs("vb")) * ratio * (1 + 1e-12)
+    once = (F.col("own") < F.col("b")) | (F.col("va") < F.col("vb"))
+    return left.join(right, ["g", "q", "sg", "b"]).where(near & once & (F.col("va") != F.col("vb"))).select("g", "q", F.least("va", "vb").alias("v1"), F.greatest("va", "vb").alias("v2"))
+
+
+def agreeing_pairs(df: DataFrame, key: str, group: str, value: str = "value", kind: str = "quantity_kind", ratio: float = 1.01) -> DataFrame:
+    """(a, b), a < b: different keys of one group and kind whose values agree: agreeing_values brought back to the keys that state them."""
+    base = _stated(df, key, group, value, kind)
+    same = base.groupBy("g", "q", "v").agg(F.count("*").alias("n")).where("n > 1").select("g", "q", F.col("v").alias("v1"), F.col("v").alias("v2"))
+    pairs = agreeing_values(base, ratio).union(same)
+    ka, kb = (base.select("g", "q", F.col("k").alias(f"k{i}"), F.col("v").alias(f"v{i}")) for i in "12")
+    both = pairs.join(ka, ["g", "q", "v1"]).join(kb, ["g", "q", "v2"]).where((F.col("v1") < F.col("v2")) | (F.col("k1") < F.col("k2")))
+    return both.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
+
+
+def agreement(df: DataFrame, key: str, group: str, value: str = "value", kind: str = "quantity_kind", ratio: float = 1.01) -> DataFrame:
+    """(key, group, kind, value, same, links): each key with the number of keys that state the same value, itself included, and of those that agree with it otherwise; its size is that of df, however many pairs there are."""
+    base = _stated(df, key, group, value, kind)
+    counts = base.groupBy("g", "q", "v").agg(F.count("*").alias("same"))
+    pairs = agreeing_values(base, ratio)
+    both = pairs.select("g", "q", F.col("v1").alias("v"), F.col("v2").alias("o")).union(pairs.select("g", "q", F.col("v2").alias("v"), F.col("v1").alias("o")))
+    links = both.join(counts.select("g", "q", F.col("v").alias("o"), F.col("same").alias("n")), ["g", "q", "o"]).groupBy("g", "q", "v").agg(F.sum("n").alias("links"))
+    out = base.join(counts, ["g", "q", "v"]).join(links, ["g", "q", "v"], "left")
+    return out.select(F.col("k").alias(key), F.col("g").alias(group), F.col("q").alias(kind), F.col("v").alias(value), "same", F.coalesce("links", F.lit(0)).alias("links"))

@@ -39,6 +39,11 @@ def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     return _stated(spark, sf).select("figure_id", "series_id", "quantity_kind", "stated_number", "stated_unit", "canonical_unit", "value")
 
 
+def p4_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Each figure with the numbers of figures of its series that state the same value, and that agree with it otherwise."""
+    return units.agreement(_stated(spark, sf), "figure_id", "series_id")
+
+
 def docx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Every document written as a Word file and read again, in memory, one document at a time: its runs, characters and references."""
     r = runs(spark, sf, "text", "bold", "italic", "kind")
@@ -53,7 +58,7 @@ def docx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("doc_id").applyInPandas(one, "doc_id string, runs long, chars long, refs long, bold long")
 
 
-QUERIES = {f.__name__: f for f in (docx_roundtrip, p2_found, p2_nodes, p4_found, p4_values)}
+QUERIES = {f.__name__: f for f in (docx_roundtrip, p2_found, p2_nodes, p4_found, p4_values, p4_agreement)}
 ORACLE: dict[str, str] = {
     "docx_roundtrip": f"SELECT doc_id, count(*) AS runs, CAST(sum(CASE WHEN kind = 'footnote_ref' THEN 0 ELSE length(coalesce(text, '')) END) AS BIGINT) AS chars, count(*) FILTER (kind = 'footnote_ref') AS refs, count(*) FILTER (coalesce(bold, false)) AS bold FROM {RUNS} GROUP BY doc_id",
 }

@@ -15,6 +15,7 @@ CASES = [
     ("705.7 thousand pounds sterling", None, 705700.0, "GBP"), ("705.7 thousand pounds", None, 705700.0, "lb"), ("(73.94 deg. F, provisional)", None, 73.94, "F"), ("316.75 K", None, 316.75, "K"), ("１．０３７８８ ＴＷｈ", None, 1.03788, "TWh"),
     ("three thousand three hundred and nineteen million cubic metres", None, 3319e6, "m3"), ("445 740 000", "in cubic metres", 445740000.0, "m3"), ("see annex", "tonnes", None, None), ("tbc", None, None, None), ("12", None, None, None), ("", "t", None, None), (None, "t", None, None),
     ("1.1737e8", "USD", 1.1737e8, "USD"), ("107.4", "GBP m", 107.4e6, "GBP"), ("5", "INR L", 5e5, "INR"), ("5", "BDT cr", 5e7, "BDT"), ("5", "JPY '000", 5e3, "JPY"), ("181 thousan﻿d tonnes acro⁠ss 15 district‍s", None, 181e3, "t"), ("−4.5°C", None, -4.5, "C"), ("3.5E+06", "in long tons", 3.5e6, "long_ton"),
+    ("about 3,5 km away", None, 3.5, "km"), ("1.234,5 kg", None, 1234.5, "kg"), ("1,234 kg", None, 1234.0, "kg"), ("12,34,567 kg", None, 1234567.0, "kg"), ("-3,25 km", None, -3.25, "km"), ("pages 3,4,5 and 7 kg", None, 7.0, "kg"), ("5 km and 7 kg", None, 5.0, "km"),
 ]
 
 
@@ -68,3 +69,26 @@ def test_table(spark):
     got = {r["id"]: (r["canonical_unit"], r["value"]) for r in U.with_quantities(d, conv).collect()}
     assert got == {1: ("SGD", pytest.approx(2.7e6)), 2: ("t", 2.0), 3: (None, None), 4: (None, None), 5: (None, None)}
     assert U.with_quantities(d.limit(0), conv).count() == 0
+
+
+def test_every_quantity(spark):
+    assert U.parse_quantities("5 km, then US$2 million and 7 kg in 2002", None) == [(5.0, "km"), (2e6, "USD"), (7.0, "kg")]
+    d = spark.createDataFrame([(1, "5 km and 7 kg", None), (2, "none", None), (3, "12", "t")], "id int, text string, unit_note string")
+    got = sorted((r["id"], r["value"]) for r in U.with_quantities(d, U.conversion_table(spark), every=True).na.fill(-1.0, ["value"]).collect())
+    assert got == [(1, 0.007), (1, 5000.0), (2, -1.0), (3, 12.0)]
+
+
+def test_rates_are_never_collected(spark):
+    fx = spark.range(15_000).selectExpr("concat('X', id) AS code", "CAST(1 + id AS DOUBLE) AS to_sgd")
+    conv = U.conversion_table(spark, fx.union(spark.createDataFrame([("usd ", 1.5), ("C", 9.0)], fx.schema)))
+    got = {r["unit"]: (r["canonical"], r["kind"], r["a"]) for r in conv.where("unit IN ('X14999', 'USD', 'C')").collect()}
+    assert got == {"X14999": ("SGD", "money", 15000.0), "USD": ("SGD", "money", 1.5), "C": ("C", "temperature", 1.0)}
+
+
+def test_hot_series(spark):
+    """A series of equal values gives one row for each key, and pairs of different values meet once."""
+    d = spark.range(3000).selectExpr("id AS k", "1 AS g", "'mass' AS quantity_kind", "CASE WHEN id < 2990 THEN 100.0D WHEN id < 2999 THEN 100.5D ELSE 300.0D END AS value")
+    got = {r["value"]: (r["same"], r["links"]) for r in U.agreement(d, "k", "g").select("value", "same", "links").distinct().collect()}
+    assert got == {100.0: (2990, 9), 100.5: (9, 2990), 300.0: (1, 0)}
+    assert U.agreement(d, "k", "g").count() == 3000
+    assert U.agreeing_pairs(d.where("k >= 2980"), "k", "g").count() == 19 * 18 // 2
