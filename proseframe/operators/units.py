@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import checked_broadcast
+from .lineage import cut_lineage
 
 # Conversions, (from, to, a, b): to = a * from + b. Several say the same by another way.
 EDGES = [
@@ -264,7 +265,7 @@ def agreeing_values(stated: DataFrame, ratio: float = 1.01) -> DataFrame:
 
 def agreeing_pairs(df: DataFrame, key: str, group: str, value: str = "value", kind: str = "quantity_kind", ratio: float = 1.01) -> DataFrame:
     """(a, b), a < b: different keys of one group and kind whose values agree: agreeing_values brought back to the keys that state them."""
-    base = _stated(df, key, group, value, kind)
+    base = cut_lineage(_stated(df, key, group, value, kind))
     same = base.groupBy("g", "q", "v").agg(F.count("*").alias("n")).where("n > 1").select("g", "q", F.col("v").alias("v1"), F.col("v").alias("v2"))
     pairs = agreeing_values(base, ratio).union(same)
     ka, kb = (base.select("g", "q", F.col("k").alias(f"k{i}"), F.col("v").alias(f"v{i}")) for i in "12")
@@ -274,7 +275,7 @@ def agreeing_pairs(df: DataFrame, key: str, group: str, value: str = "value", ki
 
 def agreement(df: DataFrame, key: str, group: str, value: str = "value", kind: str = "quantity_kind", ratio: float = 1.01) -> DataFrame:
     """(key, group, kind, value, same, links): each key with the number of keys that state the same value, itself included, and of those that agree with it otherwise; its size is that of df, however many pairs there are."""
-    base = _stated(df, key, group, value, kind)
+    base = cut_lineage(_stated(df, key, group, value, kind))
     counts = base.groupBy("g", "q", "v").agg(F.count("*").alias("same"))
     pairs = agreeing_values(base, ratio)
     both = pairs.select("g", "q", F.col("v1").alias("v"), F.col("v2").alias("o")).union(pairs.select("g", "q", F.col("v2").alias("v"), F.col("v1").alias("o")))
