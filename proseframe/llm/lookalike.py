@@ -7,7 +7,9 @@ No row is looked at by a string call.
 
 Consistent form: NFC; invisible marks gone (joiners stay where a joining script needs them);
 special spaces are plain spaces; full-width, mathematical, ligature and presentation forms are
-plain letters; letters of another alphabet inside a word are those of the word's own alphabet.
+plain letters; letters of another alphabet inside a word are those of the word's own alphabet. A
+word of nothing but look-alikes takes the alphabet of the words around it; alone it stays, in
+capitals as in small letters. The dotless i and its like stay where their alphabet may be meant.
 
 Defined results: null stays null; an empty text stays empty; texts of any length are handled
 whole; equal texts give equal results; an empty table gives an empty table; other columns are
@@ -36,7 +38,12 @@ CYRILLIC_AS_LATIN = (
 )
 GREEK_AS_LATIN = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv αa ρp υu ιi κk χx γy ϲc ϳj Ϲc"
 ARMENIAN_AS_LATIN = "օo սu հh ոn զq ցg ՕO ՍU ՏS"
-LATIN_ODD = "ɑa ɡg ıi ɩi ʏY ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs ɪI"
+LATIN_ODD = "ɡg ʏY ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs"
+# Letters of living alphabets that look like others; they stay where nothing speaks against them.
+LATIN_LIVING = "ıi ɩi ɑa ɪI"
+# Letters that speak for an alphabet with the dotless i or its like.
+LIVING_SIGNS = "şŞğĞİçÇöÖüÜəƏɛƐɔƆŋŊʋƲɖƉ\u0306\u0307\u0308\u0327"
+LIVING_WORDS = 5  # so many other Latin words without such a letter speak against one
 
 # Code point ranges of the alphabets that matter here.
 RANGES = {
@@ -117,7 +124,7 @@ def tables() -> dict[str, np.ndarray]:
     word |= (script > 0) | mark
     to_latin, kind_of = np.zeros(TOP, np.uint32), np.zeros(TOP, np.uint8)
     back = {CYRILLIC: np.zeros(TOP, np.uint32), GREEK: np.zeros(TOP, np.uint32)}
-    for s, text in ((CYRILLIC, CYRILLIC_AS_LATIN), (GREEK, GREEK_AS_LATIN), (ARMENIAN, ARMENIAN_AS_LATIN), (LATIN, LATIN_ODD)):
+    for s, text in ((CYRILLIC, CYRILLIC_AS_LATIN), (GREEK, GREEK_AS_LATIN), (ARMENIAN, ARMENIAN_AS_LATIN), (LATIN, LATIN_ODD), (LATIN, LATIN_LIVING)):
         for a, b in _pairs(text):
             to_latin[a], kind_of[a] = b, s
             if s in back and not back[s][b]:
@@ -139,13 +146,15 @@ def tables() -> dict[str, np.ndarray]:
     second = np.zeros(TOP, bool)
     second[[b for _, b in compose]] = True
     unstable |= second | (ccc > 0)
-    latin_strict = (script == LATIN) & (to_latin == 0)
+    living, sign = np.zeros(TOP, bool), np.zeros(TOP, bool)
+    living[[a for a, _ in _pairs(LATIN_LIVING)]] = True
+    sign[[ord(c) for c in LIVING_SIGNS]] = True
     joins = (script == JOINING) | (mark & np.isin(script, [JOINING, OTHER]))
     special = invisible | (single != np.arange(TOP)) | (length_k > 1) | unstable | (to_latin > 0)
     return {
         "script": script, "word": word, "ccc": ccc, "single": single, "invisible": invisible, "wide": wide_punct, "symbol": symbol, "mark": mark, "to_latin": to_latin, "kind_of": kind_of,
         "back_c": back[CYRILLIC], "back_g": back[GREEK], "flat": np.array(flat, np.uint32), "start": start, "length": length, "flat_k": np.array(flat_k, np.uint32), "start_k": start_k, "length_k": length_k,
-        "keys": keys[order], "composed": np.array(list(compose.values()), np.uint32)[order], "unstable": unstable, "latin_strict": latin_strict, "joins": joins, "special": special,
+        "keys": keys[order], "composed": np.array(list(compose.values()), np.uint32)[order], "unstable": unstable, "living": living, "sign": sign, "joins": joins, "special": special,
     }
 
 
@@ -299,6 +308,15 @@ def _alphabets(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> np.
     strict = {s: count((script == s) & (kind == 0)) for s in (CYRILLIC, GREEK, ARMENIAN)}
     conf = {s: count(kind == s) for s in (CYRILLIC, GREEK, ARMENIAN)}
     strict_all, conf_all = sum(strict.values()), sum(conf.values())
+    # a letter of a living alphabet stays, unless its word has a look-alike of another kind or a w, or its row has many Latin words and no sign of that alphabet
+    living = count(t["living"][cp])
+    if living.any():
+        wrow = row[at]
+        others, signs = (np.bincount(wrow, m, minlength=wrow[-1] + 1)[wrow] for m in ((latin > 0) & (living == 0), count(t["sign"][cp]) > 0))
+        proven = (conf_all > 0) | (odd > living) | (count((cp == 119) | (cp == 87)) > 0) | ((others >= LIVING_WORDS) & (signs == 0))
+        odd = np.where(proven, odd, odd - living)
+    else:
+        proven = np.ones(words, bool)
     foreign = strict_all + conf_all
     to_latin = (latin > 0) & (strict_all == 0) & (conf_all + odd > 0)
     # a Cyrillic or Greek word with a few Latin letters in it
@@ -310,15 +328,13 @@ def _alphabets(cp: np.ndarray, row: np.ndarray, t: dict[str, np.ndarray]) -> np.
     state = np.where((latin > 0) | to_latin, 1, np.where(foreign > 0, np.where(open_, 0, 2), np.where(odd > 0, 1, 0)))
     before, after = _neighbour(wrow, state > 0, state, True), _neighbour(wrow, state > 0, state, False)
     upper = count(kind > 0) == count((kind > 0) & ((t["to_latin"][cp] >= 65) & (t["to_latin"][cp] <= 90)))
-    letters = np.maximum(conf_all, 1)
     lone_ok = ((before == 1) | (after == 1)) & (before != 2) & (after != 2)
-    alone = (before == 0) & (after == 0) & upper & (letters > 1)
     digits = count((cp >= 48) & (cp <= 57)) > 0
     greek_word = conf[GREEK] > 0
-    to_latin |= open_ & (lone_ok | alone | (digits & (before != 2) & (after != 2))) & (~greek_word | upper)
+    to_latin |= open_ & (lone_ok | (digits & (before != 2) & (after != 2))) & (~greek_word | upper)
     out = cp.copy()
     safe = np.maximum(number, 0)
-    m = inside & like & to_latin[safe]
+    m = inside & like & to_latin[safe] & ~(t["living"][cp] & ~proven[safe])
     out[m] = t["to_latin"][cp[m]]
     for s, back in ((CYRILLIC, back_c), (GREEK, back_g)):
         m = inside & (script == LATIN) & (back > 0) & reverse[s][safe]

@@ -18,6 +18,7 @@ tables give an empty mix and a report of zeros; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,25 +38,26 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))), r"[ \-]+", "_")
 
 
-def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", max_text: int = 1 << 20) -> DataFrame:
-    """(doc_id, source, tokens). Texts are counted whole, in slices of max_text characters cut at a space where there is one."""
+# Fixed value: a space alone between two other characters. The tokenizers' split patterns take a space with what follows it, so a piece begins there and a text cut before it has the same tokens.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def slices(text: str, size: int) -> Iterator[str]:
+    """The text in slices of at least size characters, cut only where the tokenizer's own pieces end; a text without such a place after size characters stays whole from there."""
+    at = 0
+    while len(text) - at > size and (m := CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", slice_chars: int = 1 << 20) -> DataFrame:
+    """(doc_id, source, tokens). Texts are counted whole; slices of slice_chars characters bound the memory of long ones and change no count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer)
         for b in batches:
-            counts = []
-            for t in b.column(2).to_pylist():
-                if len(t) <= max_text:
-                    counts.append(len(enc.encode_ordinary(t)))
-                    continue
-                at = n = 0
-                while at < len(t):
-                    end = min(len(t), at + max_text)
-                    if end < len(t) and (s := t.rfind(" ", at + max_text // 2, end)) > 0:
-                        end = s
-                    n += len(enc.encode_ordinary(t[at:end]))
-                    at = end
-                counts.append(n)
+            counts = [sum(len(enc.encode_ordinary(x)) for x in slices(t, slice_chars)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["doc_id", "source", "tokens"])
 
     d = documents.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
@@ -88,7 +90,9 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: int | None
     sums = b.groupBy("source", "bucket").agg(F.sum("tokens").alias("s"))
     sums = _running(sums).select("source", "bucket", "before")
     placed = b.join(sums, ["source", "bucket"]).join(small(plan), "source").withColumn("cum", F.col("before") + F.col("run"))
-    uses = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    # with shares to meet a source is used up to budget * weight tokens; when others run out, up to the whole budget
+    most = F.col("budget") * (F.col("weight") if total_tokens is None else F.lit(1.0)) / F.col("all_tokens")
+    uses = placed.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.least(F.col("m").cast("long"), F.floor(most) + 1).cast("int"))))
     uses = uses.withColumn("finish_time", ((F.col("repeat_no") - 1) * F.col("all_tokens") + F.col("cum")) / F.col("weight"))
     # by virtual time v all sources together have taken v tokens, until one runs out: below that the budget is a bound on finish time
     kept = uses.where(F.col("finish_time") <= F.col("budget")) if total_tokens is None else _truncate(uses)

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
-
-TOKENIZERS = "/opt/tokenizers"
+from ..operators.lineage import cut_lineage
 
+__all__ = ["TOKENIZERS", "cut_lineage", "encoding"]
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the session's checkpoint folder and reads it from there; an executor's loss can't lose it.
-
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in tests on one
-    machine, a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+TOKENIZERS = "/opt/tokenizers"
 
 
 @lru_cache(maxsize=4)

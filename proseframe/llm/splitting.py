@@ -7,12 +7,14 @@ strongest place of the permissible window, and the next one steps back by the ov
 Defined results: items that are null or not longer than their limit give no pieces; an item's
 pieces are numbered from 0, none is longer than the limit, each shares exactly the overlap with
 the piece before, and without the overlaps they join to the item; an item without any natural
-place is cut at the limit; repeated items give their pieces once; extra columns are ignored;
+place is cut at the limit, or before the placeholder or marked letter that lies there; repeated items give their pieces once; extra columns are ignored;
 items of any length are cut whole, the table being made for one block of an item at a time.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,22 @@ CLAUSE_ENDS = [ord(c) for c in ",;:)]}|，；：、）،؛"]
 SENTENCE_ENDS = [ord(c) for c in ".!?।॥。！？۔؟…"]
 QUOTES = [ord(c) for c in "\"'”’»)]"]
 IDEOGRAPH_ENDS = [ord(c) for c in "。！？；，、"]  # followed by no space
+# Fixed value: how placeholders are written. A lone section sign is none.
+PLACEHOLDER = re.compile(r"§[A-Z]+:[^§\s]+§")
 BLOCK_ROWS = 1 << 18
 
 
-def strengths(cp: np.ndarray) -> np.ndarray:
-    """For each place k from 0 to len(cp) the strength of a cut between k - 1 and k. 0: no natural place."""
+def in_placeholder(cp: np.ndarray) -> np.ndarray:
+    """For each place k from 0 to len(cp) whether a cut between k - 1 and k would part a placeholder."""
+    out = np.zeros(len(cp) + 1, bool)
+    if (cp == 0xA7).any():
+        for m in PLACEHOLDER.finditer(cp.tobytes().decode("utf-32-le")):
+            out[m.start() + 1 : m.end()] = True
+    return out
+
+
+def strengths(cp: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """For each place k from 0 to len(cp) the strength of a cut between k - 1 and k. 0: no natural place. kept: places inside placeholders, if they are known."""
     n = len(cp)
     out = np.zeros(n + 1, np.int8)
     if n == 0:
@@ -64,11 +77,7 @@ def strengths(cp: np.ndarray) -> np.ndarray:
     count = lines[k] - lines[np.where(ok, last + 1, 0)]
     out[k[count == 1]] = LINE
     out[k[count > 1]] = BLOCK
-    # never inside a placeholder, nor before a mark or a low half of anything that combines
-    marks = np.flatnonzero(cp == 0xA7)
-    for a, b in zip(marks[:-1:2], marks[1::2]):
-        if b - a < 40:
-            out[a + 1 : b + 1] = np.where(out[a + 1 : b + 1] > 0, 0, out[a + 1 : b + 1])
+    out[in_placeholder(cp) if kept is None else kept] = 0
     return out
 
 
@@ -102,31 +111,37 @@ def cut(cp: np.ndarray, max_chars: int, overlap: int, fill: float = 0.5) -> list
         return [(0, n, BLOCK)]
     out, start = [], 0
     block = max(BLOCK_ROWS, 4 * max_chars)
-    table, origin = None, 0
+    table, origin, kept = None, 0, in_placeholder(cp)
     while n - start > max_chars:
         if table is None or start + max_chars > origin + block:
             origin = start
             back = max(0, origin - 64)  # what comes before decides the first strengths
             stop = min(n, origin + block + 64)
-            s = strengths(cp[back:stop])[origin - back :]
+            s = strengths(cp[back:stop], kept[back : stop + 1])[origin - back :]
             table = StrongestCut(s, max_chars)
         low, high = start + max(overlap + 1, int(max_chars * fill)), start + max_chars
         at, power = table.query(low - origin, high - origin)
         if power == 0 and start + overlap + 1 < low:
             at, power = table.query(start + overlap + 1 - origin, high - origin)
-        end = at + origin if power else high
-        while not power and end > start + overlap + 1 and _joined(cp, end):
-            end -= 1
+        end = at + origin if power else _hard_cut(cp, kept, start + overlap + 1, high)
         out.append((start, end, power))
         start = end - overlap
     out.append((start, n, BLOCK))
     return out
 
 
+def _hard_cut(cp: np.ndarray, kept: np.ndarray, low: int, high: int) -> int:
+    """The last place up to high, and from low on, that parts neither a placeholder nor a mark or joiner from its letter; high if there is none."""
+    k = high
+    while k >= low and (kept[k] or _joined(cp, k)):
+        k -= 1
+    return k if k >= low else high
+
+
 def _joined(cp: np.ndarray, k: int) -> bool:
     """A cut before k would part a mark or joiner from its letter."""
     c = int(cp[k])
-    return 0x300 <= c < 0x370 or c in (0x200C, 0x200D) or 0xFE00 <= c < 0xFE10 or 0x93C <= c <= 0x94D or 0x9BC <= c <= 0x9CD or 0xBBE <= c <= 0xBCD
+    return c >= 0x300 and (c in (0x200C, 0x200D) or unicodedata.category(chr(c))[0] == "M" or int(cp[k - 1]) == 0x200D)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -46,3 +46,16 @@ def test_table(spark):
     assert [(r["id"], r["consistent"]) for r in L.with_consistent(d).orderBy("id").collect()] == [(1, "The"), (1, "The"), (2, None), (3, ""), (4, "plain")]
     assert [r["id"] for r in L.inconsistent_rows(d).collect()] == [1, 1] and L.inconsistent_rows(d.limit(0)).count() == 0
     assert d.select(L.consistent_text(F.lit(None).cast("string")).alias("x")).first()["x"] is None
+
+
+LIVING = ["ışık kapı", "kapı", "Kapı açıldı ve ışık söndü, herkes dışarı çıktı.", "МОСКВА", "Москва", "москва", "ЕСОСОР", "сорос", "ɩlɩ kɛ"]
+
+
+def test_living_letters_stay():
+    assert L.consistent_array(pa.array(LIVING)).to_pylist() == LIVING
+    assert len(set(L.consistent_array(pa.array(["ışık", "işik", "isik"])).to_pylist())) == 3
+
+
+def test_living_letters_that_must_be_others():
+    rows = ["The natıonal council met again on Monday in the hall", "the wıde road", "nаtıonal", "a ɡood plan", "МОСКВА and СОР rules"]
+    assert L.consistent_array(pa.array(rows)).to_pylist() == ["The national council met again on Monday in the hall", "the wide road", "national", "a good plan", "MOCKBA and COP rules"]

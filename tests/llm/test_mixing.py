@@ -62,5 +62,17 @@ def test_tokens(spark):
     d = spark.createDataFrame([(1, "Working Paper", "hello world"), (2, None, ""), (3, "x", None), (4, "WORKING-PAPER ", "naïve 海岸 " * 3000)], "doc_id long, source string, text string")
     got = {r["doc_id"]: (r["source"], r["tokens"]) for r in M.token_counts(d).collect()}
     assert got[1] == ("working_paper", 2) and set(got) == {1, 4} and got[4][0] == "working_paper"
-    sliced = {r["doc_id"]: r["tokens"] for r in M.token_counts(d, max_text=1000).collect()}
-    assert abs(sliced[4] - got[4][1]) <= 40
+    sliced = {r["doc_id"]: r["tokens"] for r in M.token_counts(d, slice_chars=1000).collect()}
+    assert sliced == {i: n for i, (_, n) in got.items()}
+
+
+def test_slices_keep_every_token():
+    from proseframe.llm.shared import TOKENIZERS, encoding
+
+    enc, rng = encoding(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), random.Random(7)
+    for _ in range(300):
+        t = "".join(rng.choice([" ", "  ", "\n", "\t", "a", "word", "Ω", "'s", "'t", "12", ".", "—", "海", "e\u0301", "\u00a0"]) for _ in range(rng.randint(0, 120)))
+        parts = list(M.slices(t, rng.randint(1, 20)))
+        assert "".join(parts) == t
+        assert [x for p in parts for x in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    assert len(list(M.slices("x" * 5000, 10))) == 1

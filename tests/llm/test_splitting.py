@@ -45,6 +45,20 @@ def test_boundaries():
         S.cut(points("abc"), 3, 3)
 
 
+def test_placeholders():
+    long = "§FOOTNOTE:" + "9" * 60 + "§"
+    t = "see § 5 and § 6 there. " + long + " word end. " + "§ 7"
+    s = S.strengths(points(t))
+    assert s[t.index("and")] == S.WORD and s[t.index("5")] == S.WORD and s[t.index("§ 7")] == S.SENTENCE
+    assert not s[t.index(long) + 1 : t.index(long) + len(long)].any()
+    # a hard cut steps back before a placeholder that lies at the limit
+    t = "x" * 40 + "§FOOTNOTE:12§" + "y" * 60
+    assert S.cut(points(t), 48, 4)[0] == (0, 40, 0)
+    assert S.cut(points(long + "x" * 50), 48, 4)[0] == (0, 48, 0)  # longer than a piece may be
+    assert S.cut(points("e" + "\u0301" * 3 + "क्" * 30), 20, 2)[0][1] == 20
+    assert S.cut(points("ab" * 9 + "e\u0301" + "c" * 30), 19, 2)[0][1] == 18
+
+
 def test_long_blocks():
     t = "word end. " * 60000
     full = S.strengths(points(t))
