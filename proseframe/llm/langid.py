@@ -5,22 +5,24 @@ longest of its character n-grams that the model knows, from five letters down to
 get the language of the highest sum; a sentence with little evidence follows its neighbours;
 neighbouring sentences of one language form a segment.
 
-The model is fitted on a bounded sample of labelled rows (sample_docs, a parameter; rows are taken
-by hash of their id) and then cleaned of wrong labels: every half of the sample is judged by the
+The model is fitted on a bounded sample of labelled rows: about sample_docs rows of each language,
+taken by hash of their id from all rows with a usable label, and sample_chars characters of each
+(both parameters; rows without a label don't change the sample). It is then cleaned of wrong labels: every half of the sample is judged by the
 other half's model, languages that their own documents don't bear out are dropped, and sentences
 are counted for the language they are judged to be in. All documents are labelled, whole.
 
 Defined results: null, empty and blank texts, and texts without letters, have no language and give
 no rows; a repeated document gives its rows once; ties go to the language whose code comes first;
 very long sentences are judged in stretches of STRETCH words; without usable labels no language is
-known and the result is empty; extra columns are ignored.
+known and the result is empty; extra columns are ignored. Words of any length are scored whole; in
+scripts that write no spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) each character
+counts as a word. A segment's confidence is the mean probability of its language over its words.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 800
+SAMPLE_CHARS = 16_384
 MIN_DOCS = 5
 ALPHA = 0.05
 LONGEST, FLOOR = 5, -8.0
@@ -42,8 +45,9 @@ en eng English|fr fra fre French|de deu ger German|es spa Spanish Castilian|pt p
 """
 CODE = {n.lower(): x.split()[0] for x in LANGUAGES.strip().split("|") for n in x.split()}
 # What ends a sentence, and what isn't part of a word.
-ENDS = r"[.!?…]+(?=[\s\x00\"'”’)\]»]|$)|[।॥。！？۔؟]|\n+"
-TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\s\d!-/:-@\[-`{-~\x80-¿×÷‐-⁞₠-⃏、-〟।॥。，；：！？（）۔،؛؟㐀-鿿぀-ヿ\x00]+|" + ENDS + r"|\x00")
+ENDS = r"[.!?…]+(?=[\s\x00\"'”’)\]»]|$)|[।॥。！？۔؟။។]|\n+"
+SINGLE = r"㐀-鿿぀-ヿ\u0e01-\u0e4e\u0e80-\u0ece\u0f40-\u0fbc\u1000-\u1049\u1780-\u17d3"  # scripts without spaces: each character is a word
+TOKEN = re.compile(rf"[{SINGLE}]|[^\s\d!-/:-@\[-`{{-~\x80-¿×÷‐-⁞₠-⃏、-〟।॥。，；：！？（）۔،؛؟{SINGLE}\x00]+|" + ENDS + r"|\x00")
 END = re.compile(ENDS)
 STOP, SEP = 0, 1  # ids of sentence ends and of the separator of texts
 
@@ -61,39 +65,101 @@ def words_of(texts: list[str]) -> list[str]:
     return TOKEN.findall("\x00".join(t.replace("\x00", " ") for t in texts).lower() + "\x00")
 
 
+class Grams:
+    """Character n-grams of one to LONGEST letters as numbers, each with a row of scores.
+
+    The n-grams of a length are numbered by rank: the number of the first n - 1 letters and the next
+    letter make a key. A known n-gram's beginning is known too, as it occurs at least as often.
+    """
+
+    def __init__(self, letters: np.ndarray, keys: list[np.ndarray], scores: list[np.ndarray]):
+        self.letters, self.keys, self.scores = letters, keys, scores
+
+    @staticmethod
+    def spread(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all words, each between low lines, and the word of each."""
+        text = "".join(f"_{w}_" for w in words)
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+
+    @classmethod
+    def count(cls, words: list[str], weights: np.ndarray, least: float = 2.0) -> Grams:
+        """Of all words, weighted by languages (rows of weights) and words; n-grams that weigh less than least together are left out."""
+        cp, word = cls.spread(words)
+        letters, letter = np.unique(cp, return_inverse=True)
+        at, number = np.arange(len(cp)), np.zeros(len(cp), np.int64)
+        keys, scores = [], []
+        for n in range(1, LONGEST + 1):
+            ok = at + n <= len(cp)
+            ok[ok] = word[at[ok] + n - 1] == word[at[ok]]
+            at, number = at[ok], number[ok]
+            key, which = np.unique(number * len(letters) + letter[at + n - 1], return_inverse=True)
+            of = word[at]
+            m = np.stack([np.bincount(which, w[of], len(key)) for w in weights]) if len(key) else np.zeros((len(weights), 0))
+            known = m.sum(0) >= least
+            keys.append(key[known])
+            scores.append(_relative(m[:, known], 0.5) if known.any() else np.zeros((0, len(weights)), np.float32))
+            number = (np.cumsum(known) - 1)[which]
+            at, number = at[known[which]], number[known[which]]
+        return cls(letters, keys, scores)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """For each word the mean score of its longest known n-grams; zeros if it has none."""
+        cp, word = self.spread(words)
+        letter = np.searchsorted(self.letters, cp)
+        letter[letter == len(self.letters)] = 0
+        known = self.letters[letter] == cp if len(self.letters) else np.zeros(len(cp), bool)
+        at, number = np.arange(len(cp)), np.zeros(len(cp), np.int64)
+        out = np.zeros((len(words), self.scores[0].shape[1]), np.float32)
+        for n, (keys, scores) in enumerate(zip(self.keys, self.scores), 1):
+            ok = at + n <= len(cp)
+            ok[ok] = (word[at[ok] + n - 1] == word[at[ok]]) & known[at[ok] + n - 1]
+            at, number = at[ok], number[ok]
+            if len(at) == 0 or len(keys) == 0:
+                break
+            key = number * len(self.letters) + letter[at + n - 1]
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[i] == key
+            at, number = at[hit], i[hit]
+            tells = cp[at] != 95 if n == 1 else np.ones(len(at), bool)  # a low line alone says nothing
+            of = word[at[tells]]  # ascending
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(first):
+                out[of[first]] = np.add.reduceat(scores[number[tells]], first, axis=0) / np.diff(np.append(first, len(of)))[:, None]
+        return out
+
+
 class Model(dict):
-    """word -> row of the score table; unseen words are scored by n-grams on the way and kept while there is room."""
+    """word -> row of the score table; unseen words are scored by n-grams, all those of a batch at once, and kept while there is room."""
 
-    def __init__(self, languages: list[str], vocabulary: dict[str, int], scores: np.ndarray, grams: dict[str, np.ndarray], room: int = 300_000):
+    def __init__(self, languages: list[str], vocabulary: dict[str, int], scores: np.ndarray, grams: Grams, room: int = 300_000, room_letters: int = 10_000_000):
         super().__init__(vocabulary)
-        self.languages, self.known, self.scores, self.grams, self.room = languages, len(vocabulary), scores, grams, room
-        self.table = np.concatenate([scores, np.zeros((1024, scores.shape[1]), np.float32)])
-        self.used = len(scores)
-
-    def __missing__(self, word: str) -> int:
-        if END.match(word):
-            return STOP
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self.backoff(word)
-        self[word] = at = self.used
-        self.used += 1
-        return at
+        self.languages, self.scores, self.grams, self.room, self.room_letters = languages, scores, grams, room, room_letters
+        self.table, self.used, self.letters = scores, len(scores), 0
+
+    def learn(self, tokens: list[str]) -> None:
+        """Scores the tokens that aren't known yet."""
+        unseen = list(set(tokens).difference(self))
+        ends = [w for w in unseen if END.match(w)]
+        self.update(dict.fromkeys(ends, STOP))
+        words = [w for w in unseen if w not in self]
+        if not words:
+            return
+        if self.used + len(words) > len(self.table):
+            self.table = np.concatenate([self.table[: self.used], np.zeros((max(self.used, len(words)), self.table.shape[1]), np.float32)])
+        self.table[self.used : self.used + len(words)] = self.grams.score(words)
+        self.update(zip(words, range(self.used, self.used + len(words))))
+        self.used += len(words)
+        self.letters += sum(map(len, words))
 
     def trim(self) -> None:
         """Forgets unseen words when there are too many."""
-        if self.used > len(self.scores) + self.room:
+        if self.used > len(self.scores) + self.room or self.letters > self.room_letters:
             for w in [w for w, i in self.items() if i >= len(self.scores)]:
                 del self[w]
-            self.used = len(self.scores)
+            self.used, self.letters = len(self.scores), 0
 
     def backoff(self, word: str) -> np.ndarray:
-        w = f"_{word[:64]}_"
-        for n in range(min(LONGEST, len(w)), 0, -1):
-            hit = [g for i in range(len(w) - n + 1) if (g := self.grams.get(w[i : i + n])) is not None]
-            if hit:
-                return np.mean(hit, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+        return self.grams.score([word])[0]
 
 
 def _relative(counts: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
@@ -159,35 +225,21 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     often = (total >= 2) & (np.arange(v) > SEP)
     scores = np.concatenate([np.zeros((2, len(languages)), np.float32), _relative(counts[:, often])])
     final = {".": STOP, "\x00": SEP} | {w: i for i, w in enumerate(words[often], 2)}
-    by_gram: dict[str, Counter] = defaultdict(Counter)
-    where = np.argwhere(counts.T > 0)
-    for w, j in where:
-        c, text = np.log1p(counts[j, w]), f"_{words[w][:64]}_"
-        for n in range(1, LONGEST + 1):
-            for i in range(len(text) - n + 1):
-                by_gram[text[i : i + n]][j] += c
-    names = [g for g, c in by_gram.items() if sum(c.values()) >= 2]
-    grams: dict[str, np.ndarray] = {}
-    for n in range(1, LONGEST + 1):
-        some = [g for g in names if len(g) == n]
-        m = np.zeros((len(languages), len(some)))
-        for i, g in enumerate(some):
-            for j, c in by_gram[g].items():
-                m[j, i] = c
-        if some:
-            grams |= dict(zip(some, _relative(m, 0.5)))
-    return Model(languages, final, scores, grams)
-
-
-def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fits on at most about sample_docs labelled documents, taken by hash of their id."""
-    usable = documents.where("length(text) > 0").withColumn("_codes", label_codes(F.col("lang"))).where(F.size("_codes") == 1)
-    n = documents.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    low = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
-    # 65 536 letters of a text are plenty for the model; texts to be labelled are read whole
-    rows = usable.where(F.xxhash64("doc_id") <= low).select("doc_id", F.element_at("_codes", 1).alias("c"), F.substring("text", 1, 65536).alias("text")).limit(2 * sample_docs).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    seen = np.flatnonzero(counts.sum(0) > 0)
+    return Model(languages, final, scores, Grams.count(words[seen].tolist(), np.log1p(counts[:, seen])))
+
+
+def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fits on about sample_docs labelled documents of each language, taken by hash of their id, and on sample_chars characters of each."""
+    usable = documents.where("doc_id IS NOT NULL AND length(text) > 0").withColumn("_codes", label_codes(F.col("lang"))).where(F.size("_codes") == 1).withColumn("c", F.get("_codes", F.lit(0)))
+    per = {r["c"]: r["n"] for r in usable.groupBy("c").agg(F.count("*").alias("n")).collect()}  # as many rows as LANGUAGES at most
+    if not per:
+        return None
+    # a hash below the share of its range that gives a language sample_docs rows
+    low = {c: int(-(2**63) + min(1.0, sample_docs / n) * (2**64 - 1)) if n > sample_docs else 2**63 - 1 for c, n in per.items()}
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in low.items() for x in kv]), F.col("c"))
+    rows = usable.where(F.xxhash64("doc_id") <= bound).select("doc_id", "c", F.substring("text", 1, sample_chars).alias("text")).toPandas()
+    rows = rows.sort_values(["doc_id", "text", "c"]).drop_duplicates("doc_id")
     return fit(rows["text"].tolist(), rows["c"].tolist())
 
 
@@ -210,7 +262,8 @@ def _fill(value: np.ndarray, good: np.ndarray, group: np.ndarray) -> np.ndarray:
 def segments_of(model: Model, texts: list[str]) -> dict[str, np.ndarray]:
     """Segments of the texts: number of the text, language, confidence, sentences, words, first and last sentence."""
     tokens = words_of(texts)
-    ids = np.fromiter(map(model.__getitem__, tokens), np.int64, len(tokens))
+    model.learn(tokens)
+    ids, table = np.fromiter(map(model.__getitem__, tokens), np.int64, len(tokens)), model.table
     model.trim()
     end, sep = ids == STOP, ids == SEP
     word = ~(end | sep)
@@ -223,7 +276,7 @@ def segments_of(model: Model, texts: list[str]) -> dict[str, np.ndarray]:
     fresh |= word & (part % STRETCH == 0) & (part > 0)
     stretch = np.cumsum(fresh) - 1
     first = np.flatnonzero(fresh)
-    sums = np.add.reduceat(model.table[ids], first, axis=0)
+    sums = np.add.reduceat(table[ids], first, axis=0)
     n_words = np.add.reduceat(word.astype(np.int64), first)
     doc = (np.cumsum(sep) - sep)[first]
     real_no = np.cumsum(end | sep) - (end | sep)
@@ -239,14 +292,14 @@ def segments_of(model: Model, texts: list[str]) -> dict[str, np.ndarray]:
         rest = np.partition(sums, k - 2, axis=1)[:, k - 2]
     else:
         rest = top - 20
-    post = np.exp(top - np.logaddexp.reduce(sums.astype(np.float64), axis=1))
+    every = np.logaddexp.reduce(sums.astype(np.float64), axis=1)
     strong = (top - rest >= WEAK) & (n_words >= 2)
     lang = _fill(best, strong, doc)
     start = np.ones(len(doc), bool)
     start[1:] = (doc[1:] != doc[:-1]) | (lang[1:] != lang[:-1])
     at = np.flatnonzero(start)
     last = np.concatenate([at[1:], [len(doc)]]) - 1
-    support = np.where(lang == best, post, 1 - post)
+    support = np.exp(sums[np.arange(len(lang)), lang] - every)
     words = np.add.reduceat(n_words, at)
     judged = np.ones(len(doc), np.int64)
     return {"doc": doc[at], "lang": lang[at], "conf": np.add.reduceat(support * n_words, at) / words, "sentences": np.add.reduceat(judged, at), "words": words, "a": number[at], "b": number[last]}

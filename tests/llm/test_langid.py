@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,44 @@ def test_long_text():
     m = G.fit(*corpus())
     s = G.segments_of(m, ["the council and the valley " * 50_000])
     assert s["words"].sum() == 250_000
+
+
+TH = ["สภาอนุมัติงบประมาณใหม่เมื่อวานนี้", "ชาวนาในหุบเขาปลูกข้าวปีนี้", "เธอเขียนว่าท่าเรือจะเปิดเร็วๆนี้", "หลังจากการอภิปรายสมาชิกกลับบ้าน"]
+
+
+def test_script_without_spaces():
+    texts, labels = corpus()
+    more = ["\n".join(TH[(i + k) % 4] for k in range(3)) for i in range(20)]
+    m = G.fit(texts + more, labels + ["th"] * 20)
+    s = G.segments_of(m, ["\n".join([*EN, *TH[:2], *EN]), TH[0]])
+    assert [(d, m.languages[x], n) for d, x, n in zip(s["doc"], s["lang"], s["sentences"])] == [(0, "en", 4), (0, "th", 2), (0, "en", 4), (1, "th", 1)]
+    assert s["words"][1] == len("".join(TH[:2]))
+
+
+def test_whole_words_count():
+    m = G.fit(*corpus())
+    head = "q" * 70
+    assert m.languages[int(m.backoff(head + "approuvéesbudgetvallée" * 3).argmax())] == "fr"  # what tells comes after 64 letters
+    assert not m.backoff("Ω☃").any()
+    tokens = [f"approuv{i}" for i in range(3000)]
+    m.learn(tokens)
+    assert np.allclose([m.table[m[t]] for t in tokens[:50]], [m.backoff(t) for t in tokens[:50]])
+
+
+def test_confidence_is_that_of_the_language_given():
+    m = G.fit(*corpus())
+    s = G.segments_of(m, ["Le budget. " + " ".join(EN) + " Budget. " + " ".join(EN)])
+    assert ((s["conf"] > 0) & (s["conf"] <= 1)).all()
+    k = [m.languages[x] for x in s["lang"]].index("en")
+    assert s["conf"][k] > 0.9
+
+
+def test_unlabelled_rows_change_nothing(spark):
+    texts, labels = corpus()
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts, labels))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = spark.range(100_000, 100_000 + 100 * len(rows)).selectExpr("id AS doc_id", "'Nothing is known of this text.' AS text", "CASE WHEN id % 2 = 0 THEN 'und' END AS lang")
+    a, b = G.train(d), G.train(d.union(more))
+    assert a.languages == b.languages and dict(a) == dict(b) and np.array_equal(a.scores, b.scores)
+    few = G.train(d, sample_docs=20)
+    assert few.languages == ["en", "fr", "hi"]
