@@ -14,12 +14,17 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return names.mention_groups(_read(spark, sf, "name_mentions"), _read(spark, sf, "synonym_dim"))
 
 
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each mention with its entity and the number of its links; p1_found gives the links one by one."""
+    return names.with_links(_groups(spark, sf))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return names.mention_pairs(p1_groups(spark, sf))
+    return names.mention_pairs(_groups(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
