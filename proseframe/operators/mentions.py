@@ -1,8 +1,10 @@
 """Abbreviations, synonyms, variants and names: first mention, later mention, and dictionary work.
 
-Dictionaries meet texts by an equi-join on word n-grams: a text's n-grams of all lengths that
-entries have are exploded and joined with the dictionary's keys, so the work doesn't grow with
-texts times entries. A dictionary of counted, bounded size is broadcast; a larger one is joined by shuffle.
+Dictionaries meet texts by an equi-join on word n-grams: each place of a text whose word begins an
+entry is joined with the lengths of such entries, and its n-grams of these lengths with the
+dictionary's keys, so the work grows with a text's length, not with texts times entries. A row
+carries only as many words as the longest entry has. A dictionary of counted, bounded size is
+broadcast; a larger one is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protect import QUOTED
-from ..functions.text import WORD, is_acronym_short, normalise_key, words
+from ..functions.text import WORD, is_acronym_short, let, normalise_key, words
 from .joins import checked_broadcast
+from .lineage import cut_lineage
 
 DEFINED = r"([A-Za-z\s]+)\s*\(([A-Za-z0-9]+)\)"
 #: words are found with their places: (word, number from 0)
@@ -73,14 +76,16 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], te
     is dropped, and so is one with a word in a match of the protected pattern.
     """
     low = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    guard = protected_words(F.col(text), protected) if protected else F.lit(None).cast("array<boolean>")
-    w = texts.select(*keys, words(F.col(text)).alias("_w"), guard.alias("_g")).where(F.size("_w") > 0)
     d = dictionary.withColumn("_key", low(F.array_join(words(F.col(term)), " "))).where("_key <> ''")
-    lengths = d.agg(F.sort_array(F.collect_set(F.size(words(F.col(term)))))).first()[0]
-    grams = w.select(*keys, F.posexplode("_w").alias("pos", "_x"), "_w", "_g").select(*keys, "pos", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.size("_w") - F.col("pos"))).alias("n"), "_w", "_g")
+    starts = d.groupBy(F.element_at(F.split("_key", " "), 1).alias("_first")).agg(F.sort_array(F.collect_set(F.size(F.split("_key", " ")))).alias("_ns"))
+    longest = d.agg(F.coalesce(F.max(F.size(F.split("_key", " "))), F.lit(1))).first()[0]
+    guard = protected_words(F.col(text), protected) if protected else F.lit(None).cast("array<boolean>")
+    places = let(F.struct(words(F.col(text)).alias("w"), guard.alias("g")), lambda x: F.transform(x["w"], lambda _, i: F.struct(F.slice(x["w"], i + 1, longest).alias("w"), (F.slice(x["g"], i + 1, longest) if protected else F.lit(None).cast("array<boolean>")).alias("g"))))
+    at = texts.where(F.col(text).isNotNull()).select(*keys, F.posexplode(places).alias("pos", "_x")).withColumn("_first", low(F.col("_x.w")[0]))
+    grams = at.join(checked_broadcast(starts), "_first").select(*keys, "pos", "_x", F.explode(F.filter("_ns", lambda n: n <= F.size("_x.w"))).alias("n"))
     if protected:
-        grams = grams.where(~F.array_contains(F.slice("_g", F.col("pos") + 1, F.col("n")), True))
-    grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ")).alias("_key"))
+        grams = grams.where(~F.array_contains(F.slice("_x.g", 1, F.col("n")), True))
+    grams = grams.select(*keys, "pos", "n", low(F.array_join(F.slice("_x.w", 1, F.col("n")), " ")).alias("_key"))
     hits = grams.join(checked_broadcast(d), "_key").drop("_key")
     # runs of hits that overlap in a chain: one begins where no earlier hit ends beyond
     rest = [c for c in hits.columns if c not in (*keys, "pos", "n")]
@@ -104,41 +109,28 @@ def expand_mentions(texts: DataFrame, dictionary: DataFrame, doc: str, order: st
     mention that already reads "Full (ABBR)" stays and counts. A text that holds nothing stays.
     """
     both = dictionary.select("abbr", "full", F.col("abbr").alias("term"), F.lit(False).alias("is_full")).union(dictionary.select("abbr", "full", F.col("full").alias("term"), F.lit(True).alias("is_full")))
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), both, [doc, order], text, "term")
+    h = cut_lineage(dictionary_hits(texts, both, [doc, order], text, "term"))
     # "Full (ABBR)": an abbreviation right after its full form is part of it
     seq = Window.partitionBy(doc, order).orderBy("pos")
     h = h.withColumn("_prev", F.lag(F.struct("abbr", (F.col("pos") + F.col("n")).alias("e"), "is_full")).over(seq))
     h = h.withColumn("_tail", F.coalesce((F.col("_prev.abbr") == F.col("abbr")) & F.col("_prev.is_full") & (F.col("_prev.e") == F.col("pos")) & ~F.col("is_full"), F.lit(False)))
-    lead = F.lead("_tail").over(seq)
-    h = h.withColumn("_whole", F.coalesce(lead, F.lit(False)) & ~F.col("_tail"))
+    h = h.withColumn("_whole", F.coalesce(F.lead("_tail").over(seq), F.lit(False))).where("NOT _tail")
     # the first mention is a minimum, which is aggregated before the shuffle, not a rank over all mentions
-    first = h.where("NOT _tail").groupBy(doc, "abbr").agg(F.min(F.struct(order, "pos")).alias("_first"))
-    mention = h.where("NOT _tail").join(first, [doc, "abbr"]).withColumn("nth", F.when((F.col(order) == F.col(f"_first.{order}")) & (F.col("pos") == F.col("_first.pos")), 1).otherwise(2))
-    per = mention.groupBy(doc, order).agg(F.sort_array(F.collect_list(F.struct("pos", "n", "abbr", "full", "nth", "_whole"))).alias("_h"))
-    t = texts.join(per, [doc, order], "left")
-    gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))
-
-    def piece(word: Column, i: Column) -> Column:
-        at = F.get(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 0)
-        shown = F.when(at["_whole"], word).when(i == at["pos"], F.when(at["nth"] == 1, F.concat(at["full"], F.lit(" ("), at["abbr"], F.lit(")"))).otherwise(at["abbr"])).otherwise(F.lit(""))
-        gap = F.element_at(gaps, i + 1)
-        inner = (i > at["pos"]) & ~at["_whole"]
-        return F.concat(F.when(inner, F.lit("")).otherwise(gap), F.when(at.isNull(), word).otherwise(shown))
-
-    new = F.concat(F.array_join(F.transform(w, piece), ""), F.element_at(gaps, -1))
-    return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(new).alias(text))
+    first = h.groupBy(doc, "abbr").agg(F.min(F.struct(order, "pos")).alias("_first"))
+    is_first = (F.col(order) == F.col(f"_first.{order}")) & (F.col("pos") == F.col("_first.pos"))
+    shown = F.when(is_first, F.concat("full", F.lit(" ("), "abbr", F.lit(")"))).otherwise(F.col("abbr"))
+    return _replaced(texts, h.where("NOT _whole").join(first, [doc, "abbr"]).withColumn("_shown", shown), [doc, order], text, "_shown")
 
 
 def unify_terms(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
-    """Of each group of synonyms the term that a document mentions first, and where: (doc, group_id, chosen, first_order, first_pos, others).
+    """Of each group of synonyms the term that a document mentions first, and where: (doc, group_id, chosen, first_order, first_pos, mentions, replaced).
 
     groups(group_id, ord, term). Ties in place can't be: of terms at one place the longest is meant.
     """
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), groups.select("group_id", "ord", "term"), [doc, order], text, "term")
-    at = F.struct(F.col(order), F.col("pos"), F.col("ord"))
-    per = h.groupBy(doc, "group_id").agg(F.min_by("term", at).alias("chosen"), F.min(at).alias("_at"), F.count("*").alias("mentions"))
-    others = h.join(per.select(doc, "group_id", "chosen"), [doc, "group_id"]).groupBy(doc, "group_id").agg(F.sum((F.lower("term") != F.lower("chosen")).cast("long")).alias("replaced"))
-    return per.join(others, [doc, "group_id"]).select(doc, "group_id", "chosen", F.col(f"_at.{order}").alias("first_order"), F.col("_at.pos").alias("first_pos"), "mentions", "replaced")
+    h = dictionary_hits(texts, groups.select("group_id", "ord", "term"), [doc, order], text, "term")
+    per = h.groupBy(doc, "group_id", F.lower("term").alias("_low")).agg(F.min(F.struct(F.col(order), F.col("pos"), F.col("ord"), F.col("term"))).alias("_at"), F.count("*").alias("n"))
+    top = per.groupBy(doc, "group_id").agg(F.min(F.struct("_at", "n")).alias("_top"), F.sum("n").alias("mentions"))
+    return top.select(doc, "group_id", F.col("_top._at.term").alias("chosen"), F.col(f"_top._at.{order}").alias("first_order"), F.col("_top._at.pos").alias("first_pos"), "mentions", (F.col("mentions") - F.col("_top.n")).alias("replaced"))
 
 
 def unify_texts(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text", protected: str | None = QUOTED) -> DataFrame:
@@ -147,7 +139,7 @@ def unify_texts(texts: DataFrame, groups: DataFrame, doc: str, order: str, text:
     Mentions in quotations neither count nor change; protected=None has them do both. The chosen
     term's own mentions keep their case.
     """
-    h = dictionary_hits(texts.where(F.col(text).isNotNull()), groups.select("group_id", "ord", "term"), [doc, order], text, "term", protected=protected)
+    h = cut_lineage(dictionary_hits(texts, groups.select("group_id", "ord", "term"), [doc, order], text, "term", protected=protected))
     chosen = h.groupBy(doc, "group_id").agg(F.min_by("term", F.struct(F.col(order), F.col("pos"), F.col("ord"))).alias("chosen"))
     change = h.join(chosen, [doc, "group_id"]).where(F.lower("term") != F.lower("chosen"))
     return _replaced(texts, change, [doc, order], text, "chosen")
@@ -161,17 +153,53 @@ def canonical_variants(texts: DataFrame, variants: DataFrame, keys: list[str], t
 
 
 def _replaced(texts: DataFrame, hits: DataFrame, keys: list[str], text: str, by: str) -> DataFrame:
-    """Texts with the words of each hit(keys, pos, n) replaced by its column `by`."""
+    """Texts with the words of each hit(keys, pos, n), which don't overlap, replaced by its column `by`. Every word is copied once, so the work grows with the text's length."""
     per = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "n", F.col(by).alias("by")))).alias("_h"))
     t = texts.join(per, keys, "left")
+
+    def build(x: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(x["h"], k)["pos"] + F.get(x["h"], k)["n"], F.lit(0))
+        between = lambda a, b: F.array_join(F.slice(x["t"], a + 1, b - a), "")
+        parts = F.transform(x["h"], lambda h, k: F.concat(between(end(k - 1), h["pos"]), F.get(x["g"], h["pos"]), h["by"]))
+        return F.concat(F.array_join(parts, ""), between(end(F.size(x["h"]) - 1), F.size(x["t"])), F.element_at(x["g"], -1))
+
     gaps, w = F.split(F.col(text), WORD, -1), words(F.col(text))
+    whole = let(F.struct(gaps.alias("g"), w.alias("w")), lambda x: F.struct(F.col("_h").alias("h"), x["g"].alias("g"), F.transform(x["w"], lambda v, i: F.concat(F.get(x["g"], i), v)).alias("t")))
+    return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(let(whole, build)).alias(text))
+
 
-    def piece(word: Column, i: Column) -> Column:
-        at = F.get(F.filter("_h", lambda x: (x["pos"] <= i) & (i < x["pos"] + x["n"])), 0)
-        return F.when(at.isNull(), F.concat(F.element_at(gaps, i + 1), word)).when(i == at["pos"], F.concat(F.element_at(gaps, i + 1), at["by"])).otherwise(F.lit(""))
+def dedupe_expansions(df: DataFrame, order: str, full: str = "full") -> DataFrame:
+    """One row for each expansion, written alike but for case and white space: the last by order."""
+    w = Window.partitionBy(expansion_key(F.col(full))).orderBy(F.col(order).desc())
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def oriented_dictionary(df: DataFrame, order: str, left: str, right: str) -> DataFrame:
+    """(abbr, full) of pairs of which either side may be the abbreviation, the last by order for each abbreviation."""
+    abbr, full = oriented_pairs(F.col(left), F.col(right))
+    return df.select(abbr.alias("abbr"), full.alias("full"), F.col(order).alias("_o")).groupBy("abbr").agg(F.max_by("full", F.struct("_o", "full")).alias("full"))
+
+
+# Fixed value: a name of two or more capitalised words, with or without a title.
+FULL_NAME = r"(?<![\p{L}\p{N}_])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+(?![\p{L}\p{N}_])"
 
-    new = F.concat(F.array_join(F.transform(w, piece), ""), F.element_at(gaps, -1))
-    return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(new).alias(text))
+
+def collapse_names(texts: DataFrame, doc: str, order: str, text: str = "text", protected: str | None = QUOTED, name: str = FULL_NAME) -> DataFrame:
+    """Texts with a document's first mention of each full name kept and later ones, title and all, as the last name; mentions in quotations neither count nor change.
+
+    The first mention is a minimum for each document and name, so that no window holds a document's mentions.
+    """
+    pattern = rf"{protected}|{name}" if protected else name
+    found = texts.where(F.col(text).rlike(name)).select(doc, order, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("_i", "_m"))
+    plain = F.regexp_replace(F.regexp_replace("_m", r"^(?:Mr|Mrs|Ms|Dr|Prof)\.?\s+", ""), r"\s+", " ")
+    found = found.withColumn("_name", F.when(F.col("_m").rlike(f"^(?:{name})$"), plain))
+    first = found.where("_name IS NOT NULL").groupBy(doc, "_name").agg(F.min(F.struct(order, "_i")).alias("_first"))
+    later = (F.col(order) != F.col(f"_first.{order}")) | (F.col("_i") != F.col("_first._i"))
+    shown = found.join(first, [doc, "_name"], "left").select(doc, order, "_i", F.when(later, F.element_at(F.split("_name", " "), -1)).alias("_by"))
+    per = shown.groupBy(doc, order).agg(F.sort_array(F.collect_list(F.struct("_i", "_by"))).alias("_h"), F.count("_by").alias("_n")).where("_n > 0").drop("_n")
+    t = texts.join(per, [doc, order], "left")
+    change = lambda s: F.array_join(F.zip_with(F.split(s, pattern, -1), F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), lambda m, i: F.coalesce(F.get("_h", i)["_by"], m)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(let(F.col(text), change)).alias(text))
 
 
 def clean_nested(text: Column) -> Column:

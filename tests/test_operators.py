@@ -256,3 +256,30 @@ def test_checked_broadcast(spark):
     big = spark.range(1000).selectExpr("cast(id as int) AS k")
     assert "broadcast" in plan(big.join(checked_broadcast(d), "k")) and "broadcast" not in plan(big.join(checked_broadcast(d, 10), "k"))
     assert big.join(checked_broadcast(d, 10), "k").count() == 20
+
+
+def test_dictionary_hits_of_long_entries_and_texts(spark):
+    """Entries of any length, and a text of 100 000 words in a time that grows with its length."""
+    import time
+
+    long = " ".join(f"w{i}" for i in range(13))
+    d = spark.createDataFrame([(1, long), (2, "w3 w4"), (3, "x y")], "e int, term string")
+    t = spark.createDataFrame([(1, "see " + long.upper() + " and w3 w4"), (2, None), (3, ""), (4, "x y " * 50_000)], "k int, text string")
+    at = time.perf_counter()
+    got = mentions.dictionary_hits(t, d, ["k"], "text", "term").groupBy("k", "e", "n").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, 13, 1), (1, 2, 2, 1), (4, 3, 2, 50_000)}
+    new = mentions.expand_mentions(t.withColumn("doc", F.lit(1)), spark.createDataFrame([("XY", "x y")], "abbr string, full string"), "doc", "k").where("k = 4").first()["text"]
+    assert new == "x y (XY)" + " XY" * 49_999 + " "
+    assert time.perf_counter() - at < 60
+
+
+def test_collapse_names(spark):
+    rows = [(1, 0, 'Dr Anna Maria Berg met Raj Rao. "Raj Rao" said'), (1, 1, "Anna Maria Berg and Prof. Raj Rao met Li Wei."), (2, 0, "Raj  Rao, then Raj Rao"), (2, 1, None), (2, 2, "nobody")]
+    got = {(r["d"], r["i"]): r["text"] for r in mentions.collapse_names(spark.createDataFrame(rows, "d int, i int, text string"), "d", "i").collect()}
+    assert got == {(1, 0): rows[0][2], (1, 1): "Berg and Rao met Li Wei.", (2, 0): "Raj  Rao, then Rao", (2, 1): None, (2, 2): "nobody"}
+
+
+def test_dictionaries_keep_the_last(spark):
+    d = spark.createDataFrame([(1, "UN", "United Nations"), (2, "U.N.", "united  nations"), (3, "EU", "European Union"), (4, "European Commission", "EC"), (5, "EC", "Extra Credit")], "o int, abbr string, full string")
+    assert {(r["o"], r["abbr"]) for r in mentions.dedupe_expansions(d, "o").collect()} == {(2, "U.N."), (3, "EU"), (4, "European Commission"), (5, "EC")}
+    assert {(r["abbr"], r["full"]) for r in mentions.oriented_dictionary(d.where("o >= 3"), "o", "abbr", "full").collect()} == {("EU", "European Union"), ("EC", "Extra Credit")}
