@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import lit_map, replace_each
@@ -31,6 +31,13 @@ def codes_in(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.element_at(m, F.upper(x))))
 
 
+def add_sgd(df: DataFrame, fx: DataFrame, text: str = "text") -> DataFrame:
+    """with_sgd over a text column by the table fx(code, to_sgd). Only the currencies that have a sign can be met, so at most as many rates are read, one for each."""
+    rates = fx.where(F.col("code").isin(*SYMBOLS) & (F.col("to_sgd") > 0)).groupBy("code").agg(F.max("to_sgd").cast("decimal(18,8)").alias("r")).collect()
+    m = F.create_map(*[x for c, r in sorted(map(tuple, rates)) for x in (F.lit(c), F.lit(r).cast("decimal(18,8)"))]) if rates else F.lit(None).cast("map<string,decimal(18,8)>")
+    return df.withColumn(text, with_sgd(F.col(text), m))
+
+
 def with_sgd(text: Column, rates: Column) -> Column:
     """Adds "(S$x)" after each amount that isn't in Singapore dollars and isn't converted already; rates is a map of code -> decimal rate.
 

@@ -101,9 +101,10 @@ def outside_protected(text: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def is_table_or_figure_line(line: Column) -> Column:
-    """Two or more bars or tabs, or a caption word at the start."""
+    """Two or more bars or tabs, a caption word at the start, or a rule between a table's rows."""
     n = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    return (n("|") >= 2) | (n("\t") >= 2) | line.rlike(r"(?i)^\s*(?:(?:Table|Figure|Chart|Exhibit)(?![\p{L}\p{N}_])|Fig\.)")
+    caption = line.rlike(r"(?i)^\s*(?:(?:Table|Figure|Chart|Exhibit)(?![\p{L}\p{N}_])|Fig\.)")
+    return (n("|") >= 2) | (n("\t") >= 2) | caption | line.rlike(r"^\s*\|? *-+ *(?:\| *-+ *)+\|?\s*$")
 
 
 def by_line(text: Column, fn: Callable[[Column], Column]) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word in any script. Java's \w is ASCII unless (?U) is given.
 WORD = r"[\p{L}\p{N}_]+"
@@ -46,6 +49,11 @@ def outside(text: Column, protected: str, fn: Callable[[Column], Column]) -> Col
     return let(text, change)
 
 
+def with_text(df: DataFrame, fn: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """df with fn applied to its text column; nulls stay null."""
+    return df.withColumn(text, F.when(F.col(text).isNotNull(), fn(F.col(text))))
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.lit(0))
 
@@ -67,6 +75,21 @@ def normalise_spaces(text: Column) -> Column:
     return F.translate(text, "\u2009\u00a0", "  ")
 
 
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """NFC. Spark has no expression for it; ASCII never leaves the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _composed(text)).otherwise(text)
+
+
+def xml_safe(text: Column) -> Column:
+    """A text fit for XML: composed, and xml_safe_controls."""
+    return xml_safe_controls(composed(text))
+
+
 def xml_safe_controls(text: Column) -> Column:
     """Vertical tab and form feed as line ends; other control characters and non-characters dropped."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x0B\x0C]", "\n"), r"[\x00-\x08\x0E-\x1F￾￿]", "")

@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.protect import PROTECTED, mask, unmask
-from .sessions import cache_key, corrected_text, missing_prompts, reconciled, reply_segments
+from .mentions import acronyms
+from .sessions import cache_key, corrected_text, json_object, missing_prompts, reconciled, reply_segments
 from .structure import fixed_batches, footnote_segments, leaks_prompt
 
 
@@ -32,6 +34,16 @@ class Echo:
         return "Corrected:\n" + prompt.rpartition("Input text:")[2].strip()
 
 
+class Rewriter:
+    """Offline: replies with a function of the prompt's text after the last Input text:."""
+
+    def __init__(self, fn: Callable[[str], str]):
+        self.fn = fn
+
+    def __call__(self, prompt: str) -> str:
+        return "Corrected:\n" + self.fn(prompt.rpartition("Input text:")[2].strip())
+
+
 class Table:
     """Offline: replies from a table of known prompts."""
 
@@ -128,6 +140,73 @@ def batched_rewrite(paragraphs: DataFrame, instructions: str, connector: Connect
     return parts.select(doc, order, text, F.regexp_replace(new, r"^\s+|\s+$", "").alias("rewritten"))
 
 
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """cache(key, response) as saved; one that can't be read is empty."""
+    try:
+        return spark.read.schema("key string, response string").parquet(path).where("key IS NOT NULL")
+    except AnalysisException:
+        return spark.createDataFrame([], "key string, response string")
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    """The replies that were given, once each; a missing reply isn't kept, so it is asked for again."""
+    cache.where("response IS NOT NULL").groupBy("key").agg(F.min("response").alias("response")).write.mode("overwrite").parquet(path)
+
+
+def batched_expansion(paragraphs: DataFrame, instructions: str, connector: Connector, cache: DataFrame, doc: str = "doc_id", order: str = "para_idx", text: str = "text", batch_size: int = 4) -> DataFrame:
+    """(doc, order, batch, known, rewritten): paragraphs given to a service in batches that carry the acronyms of a document's earlier batches.
+
+    Which acronyms are known before a batch follows from the texts (those whose first batch is
+    earlier), so all batches can be asked for at once; a prompt is the state, an empty line and the
+    batch's texts. Where the reply has not as many segments as the batch, its texts stand.
+    """
+    full = paragraphs.where(F.length(F.trim(text)) > 0).select(doc, order, text)
+    b = fixed_batches(full, doc, order, batch_size)
+    first = acronyms(b, [doc, "batch"], text).groupBy(doc, F.col("word").alias("_a")).agg(F.min("batch").alias("_b"))
+    g = b.groupBy(doc, "batch").agg(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("_t")))).alias("_o"))
+    earlier = g.select(doc, "batch").join(first, doc).where(F.col("_b") < F.col("batch")).groupBy(doc, "batch").agg(F.sort_array(F.collect_list("_a")).alias("_k"))
+    g = g.join(earlier, [doc, "batch"], "left").withColumn("_k", F.coalesce("_k", F.array().cast("array<string>")))
+    state = F.concat(F.lit("ACRONYM_STATE:"), F.to_json(F.map_from_arrays("_k", F.transform("_k", lambda _: F.lit(True)))))
+    own = F.transform("_o", lambda x: x["_t"])
+    g = g.withColumn("_p", F.concat(F.lit(instructions + "\n"), state, F.lit("\n\nInput text:\n"), F.array_join(own, SEPARATOR))).withColumn("key", cache_key(F.col("_p")))
+    g = g.join(ask(g, cache, connector, "_p"), "key", "left").withColumn("_n", F.coalesce(reconciled(own, reply_segments(corrected_text(F.col("response")))), own))
+    e = g.select(doc, "batch", F.size("_k").alias("known"), F.explode(F.arrays_zip("_o", "_n")).alias("_x"))
+    return e.select(doc, F.col(f"_x._o.{order}").alias(order), "batch", "known", F.col("_x._n").alias("rewritten"))
+
+
+def scanned_variants(documents: DataFrame, instructions: str, connector: Connector, cache: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, entity, variant) of a service's scan of whole documents; a reply without a JSON object gives nothing."""
+    d = documents.where(F.col(text).isNotNull()).select(doc, F.concat(F.lit(instructions + "\n<<DOC-START>>\n"), F.col(text), F.lit("\n<<DOC-END>>")).alias("_p")).withColumn("key", cache_key(F.col("_p")))
+    found = d.join(ask(d, cache, connector, "_p"), "key").select(doc, F.explode(F.from_json(json_object(F.col("response")), "map<string,array<string>>")).alias("entity", "_v"))
+    return found.select(doc, "entity", F.explode("_v").alias("variant")).where("variant <> entity").distinct()
+
+
+def with_glosses(paragraphs: DataFrame, glosses: DataFrame, keys: list[str], text: str = "text", most: int = 6) -> DataFrame:
+    """Paragraphs with the first mention of each phrase in italics, its gloss after it in brackets: glosses(keys, phrase, gloss), the longest `most` of a paragraph, the longest first."""
+    size = F.struct((-F.length("phrase")).alias("less"), "phrase", "gloss")
+    per = glosses.where("length(phrase) > 0 AND length(gloss) > 0").groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set(size)), 1, most).alias("_g"))
+    t = paragraphs.join(per, keys, "left")
+
+    def add(s: Column, g: Column) -> Column:
+        at = F.instr(s, g["phrase"])
+        return F.when(at > 0, F.concat(s.substr(F.lit(1), at - 1), F.lit("*"), g["phrase"], F.lit("* ("), g["gloss"], F.lit(")"), s.substr(at + F.length(g["phrase"]), F.length(s)))).otherwise(s)
+
+    return t.select(*[c for c in paragraphs.columns if c != text], F.coalesce(F.aggregate("_g", F.col(text), add), F.col(text)).alias(text))
+
+
+def first_glosses(glosses: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """Each gloss of a phrase replaced by the one that its document gives first."""
+    first = glosses.groupBy(doc, "phrase").agg(F.min_by("gloss", F.struct(*order)).alias("_g"))
+    return glosses.join(first, [doc, "phrase"]).withColumn("gloss", F.col("_g")).drop("_g")
+
+
+def top_results(results: DataFrame, keys: list[str], rank: str, url: str, not_from: tuple[str, ...] = (), most: int = 4) -> DataFrame:
+    """The first results of each search, those of excluded domains left out before they are counted."""
+    host = F.regexp_extract(F.lower(F.col(url)), r"^[a-z]+://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)", 1)
+    kept = results.where(~F.coalesce(host.isin(*not_from), F.lit(False))) if not_from else results
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(rank))).where(F.col("_n") <= most).drop("_n")
+
+
 def citation_url(urls: Column, not_from: str = "http://dx.doi.org") -> Column:
     """The first address of a search's results that isn't a resolver's, null if there is none."""
     return F.get(F.filter(urls, lambda u: u.isNotNull() & ~u.startswith(not_from)), F.lit(0))

@@ -26,8 +26,14 @@ def _tokens(text: str) -> list[str]:
 def align(old: str | None, new: str | None) -> list[dict]:
     """The new text as segments, hl where it differs from the old one; what was deleted leaves nothing."""
     a, b = _tokens(old or ""), _tokens(new or "")
+    # the matcher is quadratic at worst: it sees only what is left between the common head and tail
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    middle = difflib.SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False).get_opcodes()
+    spans = [("equal", 0, head), *((op, j + head, k + head) for op, _, _, j, k in middle), ("equal", len(b) - tail, len(b))]
     out: list[dict] = []
-    for op, _, _, j, k in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for op, j, k in spans:
         text = "".join(b[j:k])
         if op == "delete" or not text:
             continue
@@ -44,6 +50,12 @@ def highlighted(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([align(x, y) for x, y in zip(old, new)])
 
 
+def highlighted_segments(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seg_no, text, hl): the segments of each changed text, of whatever part of a document."""
+    s = changes.select(*keys, F.posexplode(highlighted(F.col("old"), F.col("new"))).alias("seg_no", "s"))
+    return s.select(*keys, "seg_no", "s.text", "s.hl")
+
+
 def changed(before: DataFrame, after: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, old, new) of texts that differ; a place missing before is empty, one missing after is ignored."""
     b = before.select(*keys, F.col(text).alias("old"))

@@ -127,10 +127,10 @@ def unify_terms(texts: DataFrame, groups: DataFrame, doc: str, order: str, text:
 
     groups(group_id, ord, term). Ties in place can't be: of terms at one place the longest is meant.
     """
-    h = dictionary_hits(texts, groups.select("group_id", "ord", "term"), [doc, order], text, "term")
-    per = h.groupBy(doc, "group_id", F.lower("term").alias("_low")).agg(F.min(F.struct(F.col(order), F.col("pos"), F.col("ord"), F.col("term"))).alias("_at"), F.count("*").alias("n"))
+    h = dictionary_hits(texts, groups.select("group_id", F.col("ord").alias("_ord"), "term"), [doc, order], text, "term")
+    per = h.groupBy(doc, "group_id", F.lower("term").alias("_low")).agg(F.min(F.struct(F.col(order).alias("o"), F.col("pos").alias("p"), F.col("_ord"), F.col("term"))).alias("_at"), F.count("*").alias("n"))
     top = per.groupBy(doc, "group_id").agg(F.min(F.struct("_at", "n")).alias("_top"), F.sum("n").alias("mentions"))
-    return top.select(doc, "group_id", F.col("_top._at.term").alias("chosen"), F.col(f"_top._at.{order}").alias("first_order"), F.col("_top._at.pos").alias("first_pos"), "mentions", (F.col("mentions") - F.col("_top.n")).alias("replaced"))
+    return top.select(doc, "group_id", F.col("_top._at.term").alias("chosen"), F.col("_top._at.o").alias("first_order"), F.col("_top._at.p").alias("first_pos"), "mentions", (F.col("mentions") - F.col("_top.n")).alias("replaced"))
 
 
 def unify_texts(texts: DataFrame, groups: DataFrame, doc: str, order: str, text: str = "text", protected: str | None = QUOTED) -> DataFrame:
@@ -139,8 +139,8 @@ def unify_texts(texts: DataFrame, groups: DataFrame, doc: str, order: str, text:
     Mentions in quotations neither count nor change; protected=None has them do both. The chosen
     term's own mentions keep their case.
     """
-    h = cut_lineage(dictionary_hits(texts, groups.select("group_id", "ord", "term"), [doc, order], text, "term", protected=protected))
-    chosen = h.groupBy(doc, "group_id").agg(F.min_by("term", F.struct(F.col(order), F.col("pos"), F.col("ord"))).alias("chosen"))
+    h = cut_lineage(dictionary_hits(texts, groups.select("group_id", F.col("ord").alias("_ord"), "term"), [doc, order], text, "term", protected=protected))
+    chosen = h.groupBy(doc, "group_id").agg(F.min_by("term", F.struct(F.col(order).alias("o"), F.col("pos").alias("p"), F.col("_ord"))).alias("chosen"))
     change = h.join(chosen, [doc, "group_id"]).where(F.lower("term") != F.lower("chosen"))
     return _replaced(texts, change, [doc, order], text, "chosen")
 
@@ -202,6 +202,11 @@ def collapse_names(texts: DataFrame, doc: str, order: str, text: str = "text", p
     return t.select(*[c for c in texts.columns if c != text], F.when(F.col("_h").isNull(), F.col(text)).otherwise(let(F.col(text), change)).alias(text))
 
 
+def entity_variants(pairs: DataFrame, doc: str) -> DataFrame:
+    """(doc, entity, variants): each defined term of a document with the abbreviations that stand for it, in order: pairs(doc, abbr, term). What a scan for variants finds without a service."""
+    return pairs.where("term <> '' AND abbr <> term").groupBy(doc, F.col("term").alias("entity")).agg(F.sort_array(F.collect_set("abbr")).alias("variants"))
+
+
 def clean_nested(text: Column) -> Column:
     """"X (X (A))" as "X (A)", "X (X)" as "X"."""
     text = F.regexp_replace(text, r"\b([\p{L}\p{N}_][\p{L}\p{N}_ ]+?)\s*\(\1\s*\(([\p{L}\p{N}_]+)\)\)", "$1 ($2)")

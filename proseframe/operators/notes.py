@@ -85,6 +85,13 @@ def numbered_notes(notes: DataFrame, doc: str = "doc_id") -> DataFrame:
     return with_number(real, [doc, "kind"], "note_id", "number")
 
 
+def preserved(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, before, after, kept, fewer): how many rows each group had and has; kept if none is missing, fewer where a warning is due."""
+    b, a = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((before, "before"), (after, "after")))
+    both = b.join(a, keys, "full").na.fill(0, ["before", "after"])
+    return both.select(*keys, "before", "after", (F.col("before") == F.col("after")).alias("kept"), (F.col("after") < F.col("before")).alias("fewer"))
+
+
 def with_relations(links: DataFrame, existing: DataFrame, doc: str = "doc_id") -> DataFrame:
     """A relationship id for each new link, after the highest that the document has: links(doc, ord, target), existing(doc, rel_id)."""
     top = existing.groupBy(doc).agg(F.max(F.regexp_extract("rel_id", r"^rId(\d+)$", 1).try_cast("int")).alias("_top"))

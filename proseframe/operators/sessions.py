@@ -67,6 +67,12 @@ def missing_prompts(prompts: DataFrame, cache: DataFrame, prompt: str = "prompt"
     return keyed.join(cache.select("key"), "key", "left_anti")
 
 
+def fresh(df: DataFrame, at: Column, now: Column, seconds: float = 600) -> DataFrame:
+    """The cached rows no older than so many seconds; one without a time is stale."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1e6
+    return df.where(age < seconds)
+
+
 def reconciled(original: Column, returned: Column) -> Column:
     """Returned segments if there are as many as originals, each only if it has the same footnote placeholders; else all originals."""
     notes = lambda s: F.regexp_extract_all(s, F.lit(r"§FOOTNOTE:\d+§"), F.lit(0))

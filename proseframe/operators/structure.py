@@ -51,8 +51,30 @@ def is_citation_like(text: Column) -> Column:
 
 
 def is_whole_quote(text: Column) -> Column:
+    """A line in double quotes, or in single ones that hold two double ones at their start, or the other way round."""
     t = F.trim(text)
-    return t.startswith('"') & t.endswith('"')
+    around = lambda a, z: t.startswith(a) & t.endswith(z)
+    return around('"', '"') | around("'\"\"", "'") | around("\"''", '"')
+
+
+def with_safe(paragraphs: DataFrame) -> DataFrame:
+    """Adds safe: a paragraph that may be rewritten, which is in no table, no heading, no quotation, and holds text only (no image, no note reference)."""
+    s = F.col("style")
+    nontext = F.coalesce("has_image", F.lit(False)) | (F.coalesce(F.size("footnote_refs"), F.lit(0)) > 0)
+    return paragraphs.withColumn("safe", ~(F.coalesce("in_table", F.lit(False)) | is_heading_style(s) | is_quote_style(s) | nontext))
+
+
+def with_skipped(paragraphs: DataFrame, runs: DataFrame, most_words: int = 7) -> DataFrame:
+    """Adds skipped: contents (a running flag), heading or title by style, what comes before a document's first text, short and bold, in a table, or an image."""
+    d = with_toc_flag(paragraphs)
+    full = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    first = paragraphs.where(full).groupBy(F.col("doc_id").alias("__doc")).agg(F.min("para_idx").alias("__first"))
+    bold = short_bold(runs, ["doc_id", "para_idx"], most_words).select(F.col("doc_id").alias("__d"), F.col("para_idx").alias("__p"), F.lit(True).alias("__bold"))
+    d = d.join(first, F.col("doc_id") == F.col("__doc"), "left").join(bold, (F.col("doc_id") == F.col("__d")) & (F.col("para_idx") == F.col("__p")), "left")
+    early = F.coalesce(F.col("para_idx") < F.col("__first"), F.lit(True))
+    no = F.lit(False)
+    skipped = F.col("in_toc") | is_heading_contains(F.col("style")) | early | F.coalesce("__bold", no) | F.coalesce("in_table", no) | F.coalesce("has_image", no)
+    return d.select(*paragraphs.columns, skipped.alias("skipped"))
 
 
 def to_rewrite(paragraphs: DataFrame, text: str = "text", refs: str = "footnote_refs") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.numbers import ONES, TENS
 
@@ -30,25 +31,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def once(df: DataFrame, keys: list[str], columns: tuple[str, ...], loaded: str) -> DataFrame:
+    """Each key once, as delivered last; of rows delivered together the greatest."""
+    return df.groupBy(*keys).agg(F.max(F.struct(loaded, *columns)).alias("_r")).select(*keys, *[f"_r.{c}" for c in columns])
+
+
 def paragraphs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Paragraphs once each, however often delivered."""
-    return table(spark, sf, "paragraphs").select("doc_id", "para_idx", *columns).dropDuplicates(["doc_id", "para_idx"])
+    return table(spark, sf, "paragraphs").transform(once, ["doc_id", "para_idx"], columns, "loaded_at")
 
 
 def runs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "runs").select("doc_id", "para_idx", "run_idx", *columns).dropDuplicates(["doc_id", "para_idx", "run_idx"])
+    return table(spark, sf, "runs").transform(once, ["doc_id", "para_idx", "run_idx"], columns, "loaded_at")
 
 
 def notes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "notes").select("doc_id", "kind", "note_id", *columns).dropDuplicates(["doc_id", "kind", "note_id"])
+    return table(spark, sf, "notes").transform(once, ["doc_id", "kind", "note_id"], columns, "loaded_at")
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", *columns).dropDuplicates(["doc_id"])
+    return table(spark, sf, "documents").transform(once, ["doc_id"], columns, "loaded_at")
 
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "context_cache").select("session_id", "batch_num", "content").dropDuplicates(["session_id", "batch_num"])
+    return table(spark, sf, "context_cache").transform(once, ["session_id", "batch_num"], ("content",), "saved_at")
 
 
 PARAS = "(SELECT DISTINCT doc_id, para_idx, text, style, in_table, has_image, skip FROM paragraphs)"
@@ -62,8 +68,10 @@ LINE = "(SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER)
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files have fewer splits than there are cores; larger tables are left alone. For rows that cost much more to work on than to move."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+    spark = df.sparkSession
+    n, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size / split < n // 2 else df
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -90,14 +90,25 @@ def synonym_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("doc_id", "group_id", "chosen", "first_order", "first_pos", "mentions")
 
 
+@query("""WITH o AS (SELECT o_custkey AS doc, o_orderkey AS ord, o_orderkey % 4 AS t FROM orders),
+    f AS (SELECT doc, CASE arg_min(t, ord) FILTER (t < 2) WHEN 0 THEN 'The United States of America' WHEN 1 THEN 'The United States' END AS us, CASE arg_min(t, ord) FILTER (t > 1) WHEN 2 THEN 'South Korea' WHEN 3 THEN 'Republic of Korea' END AS kr FROM o GROUP BY doc)
+    SELECT o.doc, ord, CASE t WHEN 0 THEN concat(us, ' met.') WHEN 1 THEN concat('Aid of ', CASE us WHEN 'The United States' THEN 'the United States' ELSE us END, ', and "the United States of America" quoted.')
+      WHEN 2 THEN concat(kr, ' and ', kr, ' spoke.') ELSE concat('Talks with the ', kr, '.') END AS text FROM o JOIN f ON o.doc = f.doc""")
+def synonym_unified_talk(spark: SparkSession, sf: str) -> DataFrame:
+    """The first term of each group that a customer's texts mention, of one word or several, takes the place of the others outside quotations."""
+    t = tx.lit_array(["The United States of America met.", 'Aid of the United States, and "the United States of America" quoted.', "South Korea and ROK spoke.", "Talks with the Republic of Korea."])
+    o = spread(table(spark, sf, "orders")).select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), F.element_at(t, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
+    return mn.unify_texts(o, dims.state_synonyms(spark), "doc", "ord")
+
+
 @query()
 def synonym_unified(spark: SparkSession, sf: str) -> DataFrame:
     return mn.unify_texts(paragraphs(spark, sf, "text"), dims.state_synonyms(spark), "doc_id", "para_idx")
 
 
-@query("SELECT c_custkey AS k, concat('China and China met ', c_name, '; the United States, PRCX and prc.') AS text FROM customer")
+@query("SELECT c_custkey AS k, concat('China and China met ', c_name, '; the United States, PRCX and prc. \"PRC talks\", ‘PRC’ and China''s.') AS text FROM customer")
 def variant_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.lit("People's Republic of China and PRC met "), "c_name", F.lit("; the United States of America, PRCX and prc."))
+    t = F.concat(F.lit("People's Republic of China and PRC met "), "c_name", F.lit("; the United States of America, PRCX and prc. \"PRC talks\", ‘PRC’ and PRC's."))
     v = spark.createDataFrame([("China", "PRC"), ("China", "People's Republic of China"), ("United States", "United States of America")], "entity string, variant string")
     return mn.canonical_variants(table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), t.alias("text")), v, ["k"])
 
@@ -109,6 +120,39 @@ def name_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("mention_id", F.when(n > 1, F.split_part("name_text", F.lit(" "), F.lit(2))).otherwise(F.col("name_text")).alias("shown"))
 
 
+_PEOPLE = [("Anna", "Berg"), ("Raj Kumar", "Rao"), ("Li", "Wei")]
+@query("""WITH o AS (SELECT o_custkey AS doc, o_orderkey AS ord, CAST(o_orderkey % 3 AS INTEGER) AS i, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) AS nth FROM orders), n AS (SELECT *, ['Anna Berg', 'Raj Kumar Rao', 'Li Wei'][i + 1] AS f, ['Berg', 'Rao', 'Wei'][i + 1] AS l FROM o)
+    SELECT doc, ord, concat('today ', CASE WHEN nth = 1 THEN concat('Dr ', f) ELSE l END, ' wrote "', f, '", says ', l, ' himself.') AS text FROM n""")
+def name_collapse_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in which a person named in full is named by the last name from the second time on, title and all, outside quotations."""
+    full = F.element_at(tx.lit_array([f"{a} {b}" for a, b in _PEOPLE]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("today Dr "), full, F.lit(' wrote "'), full, F.lit('", says '), full, F.lit(" himself.")).alias("text"))
+    return mn.collapse_names(o, "doc", "ord")
+
+
+@query("SELECT lower(p_brand) AS expansion_key, max(p_partkey) AS k, arg_max(concat('B', p_partkey), p_partkey) AS abbr FROM part GROUP BY p_brand")
+def expansion_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries whose expansions differ in case and white space only are one, the last."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    full = F.when(k % 3 == 0, F.upper("p_brand")).when(k % 3 == 1, F.regexp_replace("p_brand", "#", " # ")).otherwise(F.col("p_brand"))
+    d = mn.dedupe_expansions(p.select(k.alias("k"), F.concat(F.lit("B"), k).alias("abbr"), full.alias("full")), "k")
+    return d.select(mn.expansion_key(F.col("full")).alias("expansion_key"), "k", "abbr")
+
+
+@query("SELECT concat('N', c_nationkey) AS abbr, arg_max(concat(c_name, ' Office'), c_custkey) AS expansion FROM customer GROUP BY c_nationkey")
+def abbr_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs written either way round; the last expansion of each abbreviation stays."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    a, f = F.concat(F.lit("N"), "c_nationkey"), F.concat("c_name", F.lit(" Office"))
+    d = c.select(k.alias("k"), F.when(k % 2 == 0, a).otherwise(f).alias("l"), F.when(k % 2 == 0, f).otherwise(a).alias("r"))
+    return mn.oriented_dictionary(d, "k", "l", "r").select("abbr", F.col("full").alias("expansion"))
+
+
+@query(f"SELECT doc_id, term AS entity, string_agg(DISTINCT abbr, ',' ORDER BY abbr) AS variants FROM {_FOUND} WHERE term <> '' AND abbr <> term GROUP BY doc_id, term")
+def entity_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return mn.entity_variants(_defined(spark, sf), "doc_id").select("doc_id", "entity", F.array_join("variants", ",").alias("variants"))
+
+
 @query(f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS person FROM {PARAS} WHERE text IS NOT NULL")
 def person_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs(spark, sf, "text").where("text IS NOT NULL").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))).alias("person")).distinct()
@@ -169,10 +213,21 @@ def acronym_state_union(spark: SparkSession, sf: str) -> DataFrame:
     return ss.states_so_far(batches(spark, sf), "session_id", "batch_num", "content")
 
 
+@query(f"SELECT session_id, batch_num FROM (SELECT session_id, batch_num, saved_at, max(saved_at) OVER (PARTITION BY session_id) AS newest FROM (SELECT DISTINCT session_id, batch_num, saved_at FROM context_cache)) WHERE epoch_us(newest) - epoch_us(saved_at) < 600 * 1000000")
+def fresh_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Cached batches no older than ten minutes when their session's newest was saved."""
+    b = table(spark, sf, "context_cache").select("session_id", "batch_num", "saved_at").distinct()
+    newest = b.groupBy("session_id").agg(F.max("saved_at").alias("newest"))
+    return ss.fresh(b.join(newest, "session_id"), F.col("saved_at"), F.col("newest"), 600).select("session_id", "batch_num")
+
+
 @query(f"SELECT sha256(text) AS key, count(*) AS asked FROM {DOCS} WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM {DOCS} WHERE lang = 'fr' AND text IS NOT NULL) GROUP BY text")
 def llm_cache_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf, "text", "lang").where("text IS NOT NULL").select(ss.cache_key(F.col("text")).alias("key"), "lang")
-    return d.groupBy("key").agg(F.count("*").alias("asked"), F.max(F.coalesce(F.col("lang") == "fr", F.lit(False))).alias("hit")).where("NOT hit").select("key", "asked")
+    """The texts that are left to ask about when the replies to those labelled fr are cached."""
+    d = documents(spark, sf, "text", "lang").where("text IS NOT NULL")
+    cache = d.where("lang = 'fr'").select(ss.cache_key(F.col("text")).alias("key"), F.lit("known").alias("response")).distinct()
+    asked = d.groupBy(ss.cache_key(F.col("text")).alias("key")).agg(F.count("*").alias("asked"))
+    return ss.missing_prompts(d, cache, "text").select("key").join(asked, "key")
 
 
 @query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN concat('A', o_orderkey, '|b §FOOTNOTE:1§') WHEN 1 THEN concat('A', o_orderkey, '|B §FOOTNOTE:1§') ELSE concat('a', o_orderkey, '|b §FOOTNOTE:1§') END AS text FROM orders")
@@ -247,12 +302,30 @@ def corrected_notes(spark: SparkSession, sf: str) -> DataFrame:
     return connectors.corrected(n, "Correct the text.", connectors.Echo(), cache).select("doc_id", "kind", "note_id", "corrected")
 
 
-@query(f"SELECT doc_id, para_idx, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS chars FROM {PARAS} WHERE length(trim(text)) > 0")
+@query(f"SELECT doc_id, kind, note_id, concat(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' Checked.') AS corrected FROM {NOTES} WHERE length(regexp_replace(text, '\\s+', '', 'g')) > 0")
+def changed_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same round with a service that adds a word."""
+    n = notes(spark, sf, "text").where(r"text RLIKE '\\S'")
+    cache = spark.createDataFrame([], "key string, response string")
+    return connectors.corrected(n, "Correct the text.", connectors.Rewriter(lambda t: t + " Checked."), cache).select("doc_id", "kind", "note_id", "corrected")
+
+
+@query(f"""WITH p AS (SELECT doc_id, para_idx, text, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1) // 4 AS INTEGER) AS batch FROM {PARAS} WHERE length(trim(text)) > 0),
+    a AS (SELECT doc_id, w, min(batch) AS b FROM (SELECT doc_id, batch, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM p) WHERE regexp_matches(w, '^[A-Z]{{2,}}$') GROUP BY doc_id, w)
+    SELECT p.doc_id, p.para_idx, p.batch, CAST((SELECT count(*) FROM a WHERE a.doc_id = p.doc_id AND a.b < p.batch) AS INTEGER) AS known, md5(regexp_replace(p.text, '^\\s+|\\s+$', '', 'g')) AS digest FROM p""")
+def expansion_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs asked for in batches of four, each with the acronyms known before it; the service changes nothing."""
+    cache = spark.createDataFrame([], "key string, response string")
+    r = connectors.batched_expansion(paragraphs(spark, sf, "text"), "Expand the abbreviations.", connectors.Echo(), cache)
+    return r.select("doc_id", "para_idx", "batch", "known", F.md5(F.regexp_replace("rewritten", r"^\s+|\s+$", "")).alias("digest"))
+
+
+@query(f"SELECT doc_id, para_idx, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest FROM {PARAS} WHERE length(trim(text)) > 0")
 def batched_correction(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs cut at footnotes, asked for in batches of five, put together again: a service that changes nothing keeps every character but white space."""
     cache = spark.createDataFrame([], "key string, response string")
     r = connectors.batched_rewrite(paragraphs(spark, sf, "text"), "Correct the text.", connectors.Echo(), cache)
-    return r.select("doc_id", "para_idx", F.length(F.regexp_replace("rewritten", r"\s+", "")).alias("chars"))
+    return r.select("doc_id", "para_idx", F.md5(F.regexp_replace("rewritten", r"\s+", "")).alias("digest"))
 
 
 @query("SELECT o_orderkey AS k, concat('https://x.org/', o_orderkey) AS url FROM orders")
@@ -260,4 +333,20 @@ def citation_url(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), connectors.citation_url(F.array(F.lit("http://dx.doi.org/1"), F.lit(None).cast("string"), F.concat(F.lit("https://x.org/"), "o_orderkey"), F.lit("https://y.org"))).alias("url"))
 
 
+@query("SELECT k, n FROM (SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_partkey % 3 > 0) WHERE r <= 4")
+def top_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four results of each search, here an order's lines, without those of two domains."""
+    url = F.element_at(tx.lit_array(["https://www.skip.example/a", "https://keep.example/skip.example", "http://Other.example:80/"]), (F.col("l_partkey") % 3 + 1).cast("int"))
+    r = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), url.alias("url"))
+    return connectors.top_results(r, ["k"], "n", "url", ("skip.example", "none.example")).select("k", "n")
+
+
+@query(f"""SELECT doc_id, para_idx, md5(CASE WHEN contains(text, 'council') THEN concat(a, '*council* (a body)', b) ELSE text END) AS digest FROM (SELECT doc_id, para_idx, text, substr(text, 1, strpos(text, 'council') - 1) AS a, substr(text, strpos(text, 'council') + 7) AS b FROM {PARAS} WHERE text IS NOT NULL)""")
+def paragraph_glosses(spark: SparkSession, sf: str) -> DataFrame:
+    """Glosses joined by paragraph: the phrase in italics with the gloss that its document gave first."""
+    p = paragraphs(spark, sf, "text").where("text IS NOT NULL")
+    g = p.where("contains(text, 'council')").select("doc_id", "para_idx", F.lit("council").alias("phrase"), F.lit("a body").alias("gloss"))
+    return connectors.with_glosses(p, connectors.first_glosses(g, "doc_id", ["para_idx"]), ["doc_id", "para_idx"]).select("doc_id", "para_idx", F.md5("text").alias("digest"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

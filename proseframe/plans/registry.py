@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, mention_queries, rule_queries, structure_queries, mention_queries
+from . import data_queries, mention_queries, rule_queries, structure_queries
 
 MODULES = [rule_queries, structure_queries, mention_queries, data_queries]
 

@@ -48,22 +48,15 @@ def currency_scale_space(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("k", "n", currency.currency_symbols(t).alias("text"))
 
 
-def _rates(spark: SparkSession, sf: str) -> DataFrame:
-    """The rates as one row with a map: one row per currency, bounded by the number of currencies."""
-    return table(spark, sf, "fx").where("to_sgd > 0").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("code", "to_sgd"))).alias("rates"))
-
-
 ORDER = "(SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(12,2)) AS p, ['US$', '€', '£', '₹', 'S$'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS sign, ['USD', 'EUR', 'GBP', 'INR', 'SGD'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS code FROM orders)"
 
 
-@query(f"""SELECT k, concat('The bill was ', sign, p, CASE WHEN code = 'SGD' THEN '' ELSE concat(' (S$', format('{{:,}}', CAST(floor(v) AS BIGINT)), '.', lpad(CAST(CAST((v - floor(v)) * 100 AS BIGINT) AS VARCHAR), 2, '0'), ')') END, ' in all.') AS text
+@query(f"""SELECT k, concat('The bill was ', sign, p, CASE WHEN code = 'SGD' THEN '' ELSE concat(' (S$', format('{{:,}}', CAST(floor(v) AS BIGINT)), '.', lpad(CAST(CAST((v - floor(v)) * 100 AS BIGINT) AS VARCHAR), 2, '0'), ')') END, ' in all, after €7  (S$ 9.80) before.') AS text
     FROM (SELECT o.*, round(p * to_sgd, 2) AS v FROM {ORDER} o LEFT JOIN fx USING (code))""")
 def currency_to_sgd(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(12,2)").alias("p"), F.element_at(tx.lit_array(["US$", "€", "£", "₹", "S$"]), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("sign"))
-    t = F.concat(F.lit("The bill was "), "sign", "p", F.lit(" in all."))
-    rates = {r["code"]: r["to_sgd"] for r in table(spark, sf, "fx").where("to_sgd > 0").limit(1000).collect()}
-    m = F.create_map(*[x for c, r in sorted(rates.items()) for x in (F.lit(c), F.lit(r).cast("decimal(18,8)"))]) if rates else F.lit(None).cast("map<string,decimal(18,8)>")
-    return o.select("k", currency.with_sgd(t, m).alias("text"))
+    t = F.concat(F.lit("The bill was "), "sign", "p", F.lit(" in all, after €7  (S$ 9.80) before."))
+    return currency.add_sgd(o.withColumn("text", t), table(spark, sf, "fx")).select("k", "text")
 
 
 @query("SELECT o_orderkey AS k, 'SGD,USD,EUR' AS codes FROM orders")

@@ -65,11 +65,20 @@ def short_bold_heading(spark: SparkSession, sf: str) -> DataFrame:
     return st.short_bold(runs(spark, sf, "text", "bold"), ["doc_id", "para_idx"]).select("doc_id", "para_idx")
 
 
-@query(f"SELECT doc_id, para_idx, NOT (in_table OR {KEY} LIKE 'heading%' OR {KEY} IN ('title', 'subtitle') OR contains({KEY}, 'quote') OR has_image) AS safe, in_table OR has_image OR contains({KEY}, 'toc') OR {KEY} LIKE 'heading%' OR {KEY} IN ('title', 'subtitle') AS skipped FROM {PARAS}")
+_TOC = f"""SELECT doc_id, para_idx, contains(k, 'toc') OR ((t = 'contents' OR coalesce(e, false)) AND t <> '' AND t NOT IN ('abbreviations', 'executive summary', 'introduction', 'conclusion')) AS in_toc FROM (
+    SELECT doc_id, para_idx, t, k, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM (
+    SELECT doc_id, para_idx, {KEY} AS k, lower(trim({T})) AS t, CASE WHEN lower(trim({T})) = 'contents' THEN true WHEN lower(trim({T})) IN ('abbreviations', 'executive summary', 'introduction', 'conclusion') THEN false END AS ev FROM {PARAS}))"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT ON (doc_id, para_idx) *, {KEY} AS k FROM paragraphs), toc AS ({_TOC}),
+    first AS (SELECT doc_id, min(para_idx) AS m FROM p WHERE length(trim({T})) > 0 GROUP BY doc_id),
+    bold AS (SELECT doc_id, para_idx FROM {RUNS} GROUP BY doc_id, para_idx HAVING bool_or(coalesce(bold, false)) AND length(trim(string_agg({T}, '' ORDER BY run_idx))) > 0 AND len(string_split(trim(regexp_replace(string_agg({T}, '' ORDER BY run_idx), '\\s+', ' ', 'g')), ' ')) <= 7)
+    SELECT p.doc_id, p.para_idx, NOT (p.in_table OR p.k LIKE 'heading%' OR p.k IN ('title', 'subtitle') OR contains(p.k, 'quote') OR p.has_image OR coalesce(len(p.footnote_refs), 0) > 0) AS safe,
+      t.in_toc OR contains(p.k, 'heading') OR contains(p.k, 'title') OR f.m IS NULL OR p.para_idx < f.m OR b.doc_id IS NOT NULL OR p.in_table OR p.has_image AS skipped
+    FROM p JOIN toc t USING (doc_id, para_idx) LEFT JOIN first f ON p.doc_id = f.doc_id LEFT JOIN bold b ON p.doc_id = b.doc_id AND p.para_idx = b.para_idx""")
 def paragraph_safe_and_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("style")
-    safe = ~(F.col("in_table") | st.is_heading_style(s) | st.is_quote_style(s) | F.col("has_image"))
-    return paragraphs(spark, sf, "style", "in_table", "has_image").select("doc_id", "para_idx", safe.alias("safe"), (F.col("in_table") | F.col("has_image") | st.is_toc_style(s) | st.is_heading_style(s)).alias("skipped"))
+    p = paragraphs(spark, sf, "text", "style", "in_table", "has_image", "footnote_refs")
+    return st.with_skipped(st.with_safe(p), runs(spark, sf, "text", "bold")).select("doc_id", "para_idx", "safe", "skipped")
 
 
 @query(f"""SELECT p.doc_id, count(*) AS repeats FROM {PARAS} p WHERE EXISTS (SELECT 1 FROM {PARAS} h WHERE h.doc_id = p.doc_id AND regexp_replace(lower(coalesce(h.style, '')), '\\s+', '', 'g') = 'title' AND trim(coalesce(h.text, '')) = trim(coalesce(p.text, ''))) GROUP BY p.doc_id""")
@@ -132,6 +141,18 @@ def footnote_count(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(p, "doc_id", "full").na.fill(0).select("doc_id", "notes", "refs", "placeholders", (F.col("notes") >= F.col("refs")).alias("kept"))
 
 
+@query(f"""SELECT doc_id, count(*) AS before, count(*) FILTER (NOT contains({T}, '2019')) AS after, count(*) FILTER (contains({T}, '2019')) = 0 AS kept, count(*) FILTER (contains({T}, '2019')) > 0 AS fewer FROM {NOTES} WHERE note_id NOT IN (-1, 0) GROUP BY doc_id""")
+def notes_preserved(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes before and after a rewriting that lost those that speak of 2019."""
+    n = notes(spark, sf, "text").where("note_id NOT IN (-1, 0)")
+    return nt.preserved(n, n.where(~F.coalesce(F.col("text"), F.lit("")).contains("2019")), ["doc_id"])
+
+
+@query(f"""SELECT doc_id, para_idx, run_idx, md5(regexp_replace(replace(replace(nfc_normalize(text), chr(11), chr(10)), chr(12), chr(10)), '[\\x00-\\x08\\x0E-\\x1F]', '', 'g')) AS digest FROM {RUNS} WHERE text IS NOT NULL""")
+def xml_safe_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return tx.with_text(runs(spark, sf, "text").where("text IS NOT NULL"), tx.xml_safe).select("doc_id", "para_idx", "run_idx", F.md5("text").alias("digest"))
+
+
 @query(f"SELECT doc_id, kind, note_id, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY note_id) AS INTEGER) AS number FROM {NOTES} WHERE note_id NOT IN (-1, 0) AND length(text) > 0")
 def note_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return nt.numbered_notes(notes(spark, sf, "text")).select("doc_id", "kind", "note_id", "number")
@@ -175,9 +196,13 @@ def placeholder_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("k", "n", st.dedupe_placeholders(t).alias("text"))
 
 
-@query("SELECT c_custkey AS k, c_custkey % 4 < 2 AS whole_quote, c_custkey % 3 = 0 AS leak FROM customer")
+_AROUND = [(' "', '" '), ("'", '" '), ("'\"\"", "'"), ("\"''", '"'), ("'\"", "'"), ("''", "''")]
+
+
+@query("SELECT c_custkey AS k, c_custkey % 6 IN (0, 2, 3) AS whole_quote, c_custkey % 3 = 0 AS leak FROM customer")
 def quote_and_leak(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.when(F.col("c_custkey") % 4 < 2, F.lit(' "')).otherwise(F.lit("'")), "c_name", F.lit('" '))
+    side = lambda i: F.element_at(tx.lit_array([x[i] for x in _AROUND]), (F.col("c_custkey") % 6 + 1).cast("int"))
+    t = F.concat(side(0), "c_name", side(1))
     r = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.lit("TASK 1: ")).otherwise(F.lit("A task: ")), "c_name")
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), st.is_whole_quote(t).alias("whole_quote"), st.leaks_prompt(r).alias("leak"))
 
@@ -248,12 +273,26 @@ def para_diff_changed(spark: SparkSession, sf: str) -> DataFrame:
     return diff.changed(p, p.withColumn("text", F.replace("text", F.lit("federal"), F.lit("national"))), ["doc_id", "para_idx"])
 
 
+def _body_and_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of paragraphs and of notes: part, doc_id, item_idx, text."""
+    n = notes(spark, sf, "text").where("note_id NOT IN (-1, 0)").select(F.col("kind").alias("part"), "doc_id", F.col("note_id").alias("item_idx"), "text")
+    return paragraphs(spark, sf, "text").select(F.lit("body").alias("part"), "doc_id", F.col("para_idx").alias("item_idx"), "text").unionByName(n)
+
+
 @query()
 def para_diff_highlight(spark: SparkSession, sf: str) -> DataFrame:
-    p = paragraphs(spark, sf, "text")
-    c = diff.changed(p, p.withColumn("text", numbers.number_rules(F.col("text"))), ["doc_id", "para_idx"])
-    s = c.select("doc_id", "para_idx", F.posexplode(diff.highlighted(F.col("old"), F.col("new"))).alias("seg_no", "s"))
-    return s.select("doc_id", "para_idx", "seg_no", "s.text", "s.hl")
+    t = _body_and_notes(spark, sf)
+    return diff.highlighted_segments(diff.changed(t, t.withColumn("text", numbers.number_rules(F.col("text"))), ["part", "doc_id", "item_idx"]), ["part", "doc_id", "item_idx"])
+
+
+@query(f"""SELECT part, doc_id, item_idx, count(*) AS highlighted FROM (SELECT 'body' AS part, doc_id, para_idx AS item_idx, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {PARAS} WHERE contains(text, 'federal')
+    UNION ALL SELECT kind, doc_id, note_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) FROM {NOTES} WHERE contains(text, 'federal') AND note_id NOT IN (-1, 0)) WHERE w = 'federal' GROUP BY part, doc_id, item_idx""")
+def highlights_by_part(spark: SparkSession, sf: str) -> DataFrame:
+    """One word replaced in body and notes: each place becomes one highlighted segment, which holds the new word only."""
+    t = _body_and_notes(spark, sf)
+    new = F.regexp_replace("text", r"(?<![\p{L}\p{N}_])federal(?![\p{L}\p{N}_])", "national")
+    s = diff.highlighted_segments(diff.changed(t, t.withColumn("text", new), ["part", "doc_id", "item_idx"]), ["part", "doc_id", "item_idx"])
+    return s.where("hl AND text = 'national'").groupBy("part", "doc_id", "item_idx").agg(F.count("*").alias("highlighted"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -286,7 +286,7 @@ def reattach(new: str, runs: list[dict]) -> list[dict]:
         if t and rest.startswith(t):
             out.append(dict(r))
             rest = rest[len(t) :]
-        elif t and (k := rest.find(t)) > 0 and k <= 200:
+        elif t and (k := rest.find(t)) > 0:
             out.append({"text": rest[:k], "bold": False, "italic": False})
             out.append(dict(r))
             rest = rest[k + len(t) :]

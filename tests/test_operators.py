@@ -283,3 +283,41 @@ def test_dictionaries_keep_the_last(spark):
     d = spark.createDataFrame([(1, "UN", "United Nations"), (2, "U.N.", "united  nations"), (3, "EU", "European Union"), (4, "European Commission", "EC"), (5, "EC", "Extra Credit")], "o int, abbr string, full string")
     assert {(r["o"], r["abbr"]) for r in mentions.dedupe_expansions(d, "o").collect()} == {(2, "U.N."), (3, "EU"), (4, "European Commission"), (5, "EC")}
     assert {(r["abbr"], r["full"]) for r in mentions.oriented_dictionary(d.where("o >= 3"), "o", "abbr", "full").collect()} == {("EU", "European Union"), ("EC", "Extra Credit")}
+
+
+def test_align_between_ends():
+    def plain(x):
+        return [(s["text"], s["hl"]) for s in x]
+
+    assert plain(diff.align("a b c", "a x c")) == [("a ", False), ("x", True), (" c", False)]
+    assert plain(diff.align("a a", "a a a")) == [("a a", False), (" a", True)] and plain(diff.align("", "a")) == [("a", True)] and diff.align("a", "") == [] and plain(diff.align("a", "a")) == [("a", False)]
+    long = "word and " * 20_000
+    got = plain(diff.align(long + "old" + long, long + "new" + long))
+    assert "".join(t for t, _ in got) == long + "new" + long and [t for t, hl in got if hl] == ["newword"]
+
+
+def test_results_glosses_and_cache(spark, tmp_path):
+    r = spark.createDataFrame([(1, i, u) for i, u in enumerate(["https://skip.org/a", "http://www.skip.org", "https://a.org", None, "https://notskip.org", "https://b.org", "https://c.org"])], "q int, n int, url string")
+    assert [x["n"] for x in connectors.top_results(r, ["q"], "n", "url", ("skip.org",)).orderBy("n").collect()] == [2, 3, 4, 5]
+    p = spark.createDataFrame([(1, 1, "the shura council met"), (1, 2, None), (1, 3, "shura")], "doc_id int, para_idx int, text string")
+    g = spark.createDataFrame([(1, 1, "shura", "assembly"), (1, 1, "shura council", "body"), (1, 3, "shura", "other"), (1, 3, "", "x")], "doc_id int, para_idx int, phrase string, gloss string")
+    got = {x["para_idx"]: x["text"] for x in connectors.with_glosses(p, connectors.first_glosses(g, "doc_id", ["para_idx"]), ["doc_id", "para_idx"]).collect()}
+    assert got == {1: "the **shura* (assembly) council* (body) met", 2: None, 3: "*shura* (assembly)"}
+    path = str(tmp_path / "cache")
+    assert connectors.load_cache(spark, path).count() == 0
+    connectors.save_cache(spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None)], "key string, response string"), path)
+    assert [tuple(x) for x in connectors.load_cache(spark, path).collect()] == [("a", "x")]
+
+
+def test_scanned_variants(spark):
+    d = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "doc_id int, text string")
+    replies = connectors.Table({"Scan.\n<<DOC-START>>\nx\n<<DOC-END>>": 'Found: {"China": ["PRC", "China"], "UN": ["U.N."]}', "Scan.\n<<DOC-START>>\ny\n<<DOC-END>>": "none"})
+    cache = spark.createDataFrame([], "key string, response string")
+    assert {tuple(x) for x in connectors.scanned_variants(d, "Scan.", replies, cache).collect()} == {(1, "China", "PRC"), (1, "UN", "U.N.")}
+
+
+def test_expansion_batches_carry_state(spark):
+    d = spark.createDataFrame([(1, i, t) for i, t in enumerate(["The UN met.", "a", "b", "c", "ISAS and UN.", "d"])], "doc_id int, para_idx int, text string")
+    cache = spark.createDataFrame([], "key string, response string")
+    r = connectors.batched_expansion(d, "Do.", connectors.Rewriter(str.upper), cache).orderBy("para_idx").collect()
+    assert [(x["batch"], x["known"], x["rewritten"]) for x in r] == [(0, 0, "THE UN MET."), (0, 0, "A"), (0, 0, "B"), (0, 0, "C"), (1, 1, "ISAS AND UN."), (1, 1, "D")]
