@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 800
+SAMPLE_DOCS = 600
 SAMPLE_CHARS = 16_384
 MIN_DOCS = 5
 ALPHA = 0.05
