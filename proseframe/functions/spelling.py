@@ -29,6 +29,27 @@ US_UK = {
     "tire": "tyre",
     "curb": "kerb",
 }
+# Families of words beyond that table, each with its rule. Stems as written in American spelling, without the part that changes.
+OUR = "arb ard arm cand clam demean endeav fav ferv flav harb hum od parl ranc rum sav savi splend succ tum val vap misdemean dishon discol disfav belab unsav".split()
+OUR_TABLE = "col hon lab neighb behavi vig".split()  # of the table above, with more endings
+OUR_ENDS = "s|ed|ing|able|ably|er|ers|ful|fully|less|ite|ites|al|hood|hoods|ly"
+RE = "cent centimet millimet kilomet epicent fib lit millilit theat somb lust scept spect sab calib meag sepulch och".split()
+OGUE = "anal catal dial monol prol epil travel".split()
+ENSE = "def off pret".split()
+DOUBLED = "cancel channel counsel dial dishevel duel enamel fuel funnel grovel impanel label level libel marvel model panel pedal pencil quarrel refuel revel rival shovel signal snorkel spiral stencil total travel tunnel unravel".split()
+YSE = "anal catal paral electrol hydrol psychoanal breathal".split()
+# Single words that follow no rule.
+SINGLE = {
+    "aging": "ageing", "airplane": "aeroplane", "airplanes": "aeroplanes", "artifact": "artefact", "artifacts": "artefacts", "cozy": "cosy", "diarrhea": "diarrhoea", "enroll": "enrol", "enrollment": "enrolment", "enrollments": "enrolments", "enrolls": "enrols",
+    "fulfill": "fulfil", "fulfillment": "fulfilment", "fulfills": "fulfils", "gray": "grey", "grays": "greys", "hemoglobin": "haemoglobin", "installment": "instalment", "installments": "instalments", "leukemia": "leukaemia",
+    "maneuver": "manoeuvre", "maneuvered": "manoeuvred", "maneuvering": "manoeuvring", "maneuvers": "manoeuvres", "mold": "mould", "molds": "moulds", "mustache": "moustache", "orthopedic": "orthopaedic", "pajamas": "pyjamas", "pediatric": "paediatric", "plow": "plough", "plowed": "ploughed", "plowing": "ploughing", "plows": "ploughs",
+    "skeptic": "sceptic", "skeptical": "sceptical", "skepticism": "scepticism", "skeptics": "sceptics", "skillful": "skilful", "skillfully": "skilfully", "sulfur": "sulphur", "willful": "wilful", "willfully": "wilfully",
+}
+#: (pattern of a whole word in lower case, what it becomes)
+FAMILIES = [
+    (rf"({'|'.join(OUR + OUR_TABLE)})or({OUR_ENDS})?", "$1our$2"), (rf"({'|'.join(RE)})er(s)?", "$1re$2"), (rf"({'|'.join(RE)})er(ed|ing)", "$1r$2"), (rf"({'|'.join(OGUE)})og(s)?", "$1ogue$2"), (rf"({'|'.join(OGUE)})og(ed|ing)", "$1ogu$2"),
+    (rf"({'|'.join(ENSE)})ense(s|less)?", "$1ence$2"), (rf"({'|'.join(DOUBLED)})(ed|ing|er|ers|ings)", "$1l$2"), (rf"({'|'.join(YSE)})yz(e|es|ed|ing|er|ers)", "$1ys$2"),
+]
 # Words whose -ize stays.
 STAY_IZE = [f"{w}{e}" for w in ("capsiz", "seiz", "priz", "siz") for e in ("e", "es", "ed", "ing")]
 # Names of bodies that keep their own spelling.
@@ -50,9 +71,13 @@ def prefers_ize(text: Column) -> Column:
 
 
 def british_word(word: Column, keep_ize: Column | None = None) -> Column:
-    """One word in British spelling: the lexicon, then -ization and -ize; acronyms stay."""
+    """One word in British spelling: the table, the families of words, then -ization and -ize; acronyms stay."""
     low = F.lower(word)
-    known = F.element_at(lit_map(US_UK), low)
+    family = low
+    for pattern, to in FAMILIES:
+        family = F.regexp_replace(family, f"^{pattern}$", to)
+    any_family = "|".join(p.replace("(", "(?:") for p, _ in FAMILIES)
+    known = F.coalesce(F.element_at(lit_map(US_UK | SINGLE), low), F.when(low.rlike(f"^(?:{any_family})$"), family))
     ised = F.regexp_replace(F.regexp_replace(low, r"iz(ations?)$", "is$1"), r"iz(e|es|ed|ing|er|ers)$", "is$1")
     suffix = low.rlike(r".{2}iz(?:ations?|e|es|ed|ing|er|ers)$") & ~low.isin(*STAY_IZE)
     if keep_ize is not None:

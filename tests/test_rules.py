@@ -83,3 +83,15 @@ def test_mask_roundtrip_and_spans(spark):
     assert "§PROT§aa§" in got[0]["m"] and "§PROT§aaa§" in got[0]["m"] and len(set(got[0]["m"].split())) == 800
     s = spark.createDataFrame([([(5, 9), (0, 2), (2, 3), (8, 12)],)], "a array<struct<s:int,e:int>>").select(protect.merge_spans(F.col("a")).alias("m")).first()["m"]
     assert [tuple(x) for x in s] == [(0, 3), (5, 12)]
+
+
+BRITISH = {
+    "flavored": "flavoured", "Harbors": "Harbours", "RUMORS": "RUMOURS", "humorous": "humorous", "vigorous": "vigorous", "neighborhood": "neighbourhood", "theater": "theatre", "centered": "centred", "kilometers": "kilometres", "Somber": "Sombre", "analog": "analogue", "cataloging": "cataloguing",
+    "offense": "offence", "defenseless": "defenceless", "canceled": "cancelled", "Labeling": "Labelling", "travelers": "travellers", "modeled": "modelled", "analyzed": "analysed", "Paralyze": "Paralyse", "fulfill": "fulfil", "gray": "grey", "skeptical": "sceptical", "maneuvers": "manoeuvres",
+    "travel": "travel", "labels": "labels", "later": "later", "power": "power", "actor": "actor", "behavioral": "behavioural", "sense": "sense", "organize": "organise", "prize": "prize", "doctor": "doctor", "dialed": "dialled", "dialog": "dialogue",
+}
+
+
+def test_british_families(spark):
+    d = spark.createDataFrame(list(BRITISH.items()), "us string, uk string")
+    assert {r["us"]: r["w"] for r in d.select("us", spelling.british(F.col("us")).alias("w")).collect()} == BRITISH
