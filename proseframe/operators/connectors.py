@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.protect import PROTECTED, mask, unmask
 from .mentions import acronyms
+from .notes import append_url, markdown_segments, reply_footnote, with_relations
 from .sessions import cache_key, corrected_text, json_object, missing_prompts, reconciled, reply_segments
 from .structure import fixed_batches, footnote_segments, leaks_prompt
 
@@ -174,6 +175,20 @@ def batched_expansion(paragraphs: DataFrame, instructions: str, connector: Conne
     return e.select(doc, F.col(f"_x._o.{order}").alias(order), "batch", "known", F.col("_x._n").alias("rewritten"))
 
 
+def reformatted_notes(notes: DataFrame, instructions: str, connector: Connector, cache: DataFrame, keys: list[str], text: str = "text", url: str | None = None) -> DataFrame:
+    """Adds formatted, the footnote in a service's reply (the text itself where there is none), with the address of column url after it if it holds none, and segments: its plain, italic and linked parts."""
+    d = notes.withColumn("_p", F.concat(F.lit(instructions + "\nInput text:\n"), F.col(text))).withColumn("key", cache_key(F.col("_p")))
+    d = d.join(ask(d.where("_p IS NOT NULL"), cache, connector, "_p"), "key", "left").withColumn("_r", reply_footnote(F.col("response")))
+    new = append_url(F.when(F.length(F.trim("_r")) > 0, F.col("_r")).otherwise(F.col(text)), F.col(url) if url else F.lit(None).cast("string"))
+    return d.withColumn("formatted", new).withColumn("segments", markdown_segments(F.col("formatted"))).drop("key", "response", "_p", "_r")
+
+
+def note_links(formatted: DataFrame, existing: DataFrame, doc: str = "doc_id", note: str = "note_id") -> DataFrame:
+    """(doc, ord, target, rel_id): a relationship for the address of each reformatted note, after those that the document has."""
+    links = formatted.select(doc, F.col(note).alias("ord"), F.get(F.filter("segments", lambda s: s["type"] == "hyperlink"), F.lit(0))["text"].alias("target")).where("target IS NOT NULL")
+    return with_relations(links, existing, doc)
+
+
 def scanned_variants(documents: DataFrame, instructions: str, connector: Connector, cache: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, entity, variant) of a service's scan of whole documents; a reply without a JSON object gives nothing."""
     d = documents.where(F.col(text).isNotNull()).select(doc, F.concat(F.lit(instructions + "\n<<DOC-START>>\n"), F.col(text), F.lit("\n<<DOC-END>>")).alias("_p")).withColumn("key", cache_key(F.col("_p")))

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -15,7 +15,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir of the session. Only where that is unset, as in tests on one
     machine, a temporary one is made.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share; set here where it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -25,4 +30,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()

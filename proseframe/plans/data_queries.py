@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested, units
+from ..operators.lineage import shared_folder
 from ..sources import docx
 from .base import RUNS, runs
 
@@ -58,7 +61,18 @@ def docx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("doc_id").applyInPandas(one, "doc_id string, runs long, chars long, refs long, bold long")
 
 
-QUERIES = {f.__name__: f for f in (docx_roundtrip, p2_found, p2_nodes, p4_found, p4_values, p4_agreement)}
-ORACLE: dict[str, str] = {
-    "docx_roundtrip": f"SELECT doc_id, count(*) AS runs, CAST(sum(CASE WHEN kind = 'footnote_ref' THEN 0 ELSE length(coalesce(text, '')) END) AS BIGINT) AS chars, count(*) FILTER (kind = 'footnote_ref') AS refs, count(*) FILTER (coalesce(bold, false)) AS bold FROM {RUNS} GROUP BY doc_id",
-}
+def docx_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as a Word file into the shared folder and read through the data source: its runs, characters and references."""
+    folder = f"{shared_folder(spark)}/docx-{uuid.uuid4().hex}"
+    r = runs(spark, sf, "text", "bold", "italic", "kind")
+    r = r.withColumn("note_ref", F.when(F.col("kind") == "footnote_ref", F.lit("1"))).withColumn("style", F.lit(None).cast("string"))
+    docx.write_documents(r, folder)
+    docx.register(spark)
+    back = spark.read.format("docx").option("part", "runs").option("path", folder).load()
+    c = lambda x: F.count(F.when(x, 1))
+    return back.groupBy("doc_id").agg(F.count("*").alias("runs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), c(F.col("kind") == "footnote_ref").alias("refs"), c(F.col("bold")).alias("bold"))
+
+
+QUERIES = {f.__name__: f for f in (docx_roundtrip, docx_files, p2_found, p2_nodes, p4_found, p4_values, p4_agreement)}
+_FILES = f"SELECT doc_id, count(*) AS runs, CAST(sum(CASE WHEN kind = 'footnote_ref' THEN 0 ELSE length(coalesce(text, '')) END) AS BIGINT) AS chars, count(*) FILTER (kind = 'footnote_ref') AS refs, count(*) FILTER (coalesce(bold, false)) AS bold FROM {RUNS} GROUP BY doc_id"
+ORACLE: dict[str, str] = {"docx_roundtrip": _FILES, "docx_files": _FILES}

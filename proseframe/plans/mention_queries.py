@@ -333,6 +333,16 @@ def citation_url(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), connectors.citation_url(F.array(F.lit("http://dx.doi.org/1"), F.lit(None).cast("string"), F.concat(F.lit("https://x.org/"), "o_orderkey"), F.lit("https://y.org"))).alias("url"))
 
 
+@query(f"""SELECT doc_id, kind, note_id, md5(f) AS digest, concat('rId', row_number() OVER (PARTITION BY doc_id, contains(f, 'https://') ORDER BY note_id)) AS rel_id FROM (SELECT doc_id, kind, note_id, CASE WHEN regexp_matches(f, 'https?://[^\\s)]+') THEN f ELSE concat(f, ' https://n.example/', note_id) END AS f FROM (SELECT doc_id, kind, note_id, concat('*T*, ', regexp_replace(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10), 1), '\\s+$', '')) AS f FROM {NOTES} WHERE note_id NOT IN (-1, 0) AND length(trim(text)) > 0))""")
+def notes_reformatted(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes reformatted by a service, with an address each and its relationship."""
+    n = notes(spark, sf, "text").where("note_id NOT IN (-1, 0) AND length(trim(text)) > 0").withColumn("url", F.concat(F.lit("https://n.example/"), "note_id"))
+    cache = spark.createDataFrame([], "key string, response string")
+    f = connectors.reformatted_notes(n, "Format the footnote.", connectors.Rewriter(lambda t: "Formatted Footnote:\n*T*, " + t), cache, ["doc_id", "kind", "note_id"], url="url")
+    links = connectors.note_links(f, spark.createDataFrame([], "doc_id string, rel_id string")).select("doc_id", F.col("ord").alias("note_id"), "rel_id")
+    return f.join(links, ["doc_id", "note_id"]).select("doc_id", "kind", "note_id", F.md5("formatted").alias("digest"), "rel_id")
+
+
 @query("SELECT k, n FROM (SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_partkey % 3 > 0) WHERE r <= 4")
 def top_results(spark: SparkSession, sf: str) -> DataFrame:
     """The first four results of each search, here an order's lines, without those of two domains."""

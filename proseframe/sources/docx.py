@@ -230,7 +230,8 @@ def overlay(original: bytes, edited: dict[str, bytes]) -> bytes:
 
 
 def write_documents(runs: DataFrame, folder: str) -> None:
-    """One .docx per doc_id, by tasks: runs(doc_id, para_idx, run_idx, text, bold, italic, kind, note_ref, style)."""
+    """One .docx per doc_id, by tasks, into a folder that all executors share: runs(doc_id, para_idx, run_idx, text, bold, italic, note_ref, style) and, if there, highlight."""
+    folder = folder.removeprefix("file:")
 
     def one(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -238,7 +239,7 @@ def write_documents(runs: DataFrame, folder: str) -> None:
         pdf = pdf.sort_values(["para_idx", "run_idx"])
         paras = []
         for _, g in pdf.groupby("para_idx", sort=True):
-            paras.append((g["style"].iloc[0] or None, [{"text": t, "bold": bool(b) if b is not None else None, "italic": bool(i) if i is not None else None, "note_ref": n or None} for t, b, i, n in zip(g["text"], g["bold"].astype(object), g["italic"].astype(object), g["note_ref"])]))
+            paras.append((g["style"].iloc[0] or None, [{"text": t, "bold": bool(b) if b is not None else None, "italic": bool(i) if i is not None else None, "note_ref": n or None, "highlight": h is True} for t, b, i, n, h in zip(g["text"], g["bold"].astype(object), g["italic"].astype(object), g["note_ref"], g["highlight"].astype(object) if "highlight" in g else [None] * len(g))]))
         path = os.path.join(folder, f"{pdf['doc_id'].iloc[0]}.docx")
         with open(path + ".part", "wb") as f:
             f.write(container({"word/document.xml": document_xml(paras).encode()}))
@@ -249,6 +250,24 @@ def write_documents(runs: DataFrame, folder: str) -> None:
     runs.groupBy("doc_id").applyInPandas(one, "doc_id string, paragraphs int").count()
 
 
+def relationships_xml(links: list[tuple[str, str]], existing: bytes = b"") -> bytes:
+    """A relationships part with links (id, address) added to those that it has; one whose id is there already stays as it is."""
+    space = "http://schemas.openxmlformats.org/package/2006/relationships"
+    root = ET.fromstring(existing) if existing else ET.Element(f"{{{space}}}Relationships")
+    have = {r.get("Id") for r in root}
+    for rel, target in links:
+        if rel not in have:
+            ET.SubElement(root, f"{{{space}}}Relationship", Id=rel, Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/hyperlink", Target=target, TargetMode="External")
+    ET.register_namespace("", space)
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def with_note_links(original: bytes, links: list[tuple[str, str]], part: str = "word/_rels/footnotes.xml.rels") -> bytes:
+    """The document with links in the relationships of its footnotes."""
+    z = _open(original)
+    return overlay(original, {part: relationships_xml(links, z.read(part) if part in z.namelist() else b"")})
+
+
 def text_to_document(text: str) -> bytes:
     """A document of one paragraph per line; an empty text gives one empty paragraph."""
     return container({"word/document.xml": document_xml([(None, [{"text": line}]) for line in text.split("\n")]).encode()})

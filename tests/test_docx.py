@@ -52,6 +52,18 @@ def test_bad_and_overlay(tmp_path):
     assert [r[3] for r in docx.read_rows("d", new, "runs")] == ["new"] and list(docx.read_rows("d", new, "notes"))
 
 
+def test_links_and_highlights(spark, tmp_path):
+    doc = docx.with_note_links(docx.text_to_document("a"), [("rId1", "https://a.org/?x=1&y=2"), ("rId2", "https://b.org")])
+    doc = docx.with_note_links(doc, [("rId2", "https://other.org"), ("rId3", "https://c.org")])
+    rels = {r[1]: r for r in docx.read_rows("t", doc, "parts")}
+    xml = docx._open(doc).read("word/_rels/footnotes.xml.rels").decode()
+    assert [x in xml for x in ("https://a.org/?x=1&amp;y=2", "https://b.org", "https://other.org", "https://c.org", 'TargetMode="External"')] == [True, True, False, True, True] and rels
+    d = spark.createDataFrame([("h", 0, 0, "same ", None, None, None, None, False), ("h", 0, 1, "new", None, None, None, None, True)], "doc_id string, para_idx int, run_idx int, text string, bold boolean, italic boolean, note_ref string, style string, highlight boolean")
+    docx.write_documents(d, "file:" + str(tmp_path / "hl"))
+    body = docx._open((tmp_path / "hl" / "h.docx").read_bytes()).read("word/document.xml").decode()
+    assert body.count("<w:highlight") == 1 and body.index("<w:highlight") > body.index("same ")
+
+
 def test_write_and_text(spark, tmp_path):
     d = spark.createDataFrame([("x", 0, 0, "a", True, None, None, None), ("x", 0, 1, None, None, None, "3", None), ("x", 1, 0, "b", None, True, None, "Title"), ("y", 0, 0, "", None, None, None, None)], "doc_id string, para_idx int, run_idx int, text string, bold boolean, italic boolean, note_ref string, style string")
     docx.write_documents(d, str(tmp_path / "out"))
