@@ -141,9 +141,11 @@ def batched_rewrite(paragraphs: DataFrame, instructions: str, connector: Connect
     return parts.select(doc, order, text, F.regexp_replace(new, r"^\s+|\s+$", "").alias("rewritten"))
 
 
-def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """cache(key, response) as saved; one that can't be read is empty."""
+def load_cache(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
+    """cache(key, response) as saved; one that can't be read, or is to be forgotten at the start of a run, is empty."""
     try:
+        if reset:
+            return spark.createDataFrame([], "key string, response string")
         return spark.read.schema("key string, response string").parquet(path).where("key IS NOT NULL")
     except AnalysisException:
         return spark.createDataFrame([], "key string, response string")

@@ -209,7 +209,7 @@ def joined_text(df: DataFrame, keys: list[str], order: str, text: str, separator
 def coalesced_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbouring text runs of equal format joined, with their asterisk markers: keys, island, bold, italic, text, marked.
 
-    References part islands. Trailing spaces stay outside the markers; islands of white space only vanish.
+    References part islands. Trailing spaces and a Markdown heading's number signs stay outside the markers; islands of white space only vanish.
     """
     r = runs.select(*keys, "run_idx", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("bold", F.lit(False)).alias("b"), F.coalesce("italic", F.lit(False)).alias("i"))
     w = Window.partitionBy(*keys).orderBy("run_idx")
@@ -220,7 +220,8 @@ def coalesced_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     g = g.where(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)
     stars = F.concat(F.when(F.col("bold"), F.lit("**")).otherwise(F.lit("")), F.when(F.col("italic"), F.lit("*")).otherwise(F.lit("")))
     body = F.regexp_replace("text", r"\s+$", "")
-    return g.withColumn("marked", F.concat(stars, body, stars, F.substring(F.col("text"), F.length(body) + 1, F.length("text"))))
+    sign = F.regexp_extract(body, r"^#{1,6}\s+", 0)
+    return g.withColumn("marked", F.concat(sign, stars, F.substring(body, F.length(sign) + 1, F.length(body)), stars, F.substring(F.col("text"), F.length(body) + 1, F.length("text"))))
 
 
 def resliced(runs: DataFrame, new_text: DataFrame, keys: list[str]) -> DataFrame:

@@ -112,7 +112,7 @@ def context_head(spark: SparkSession, sf: str) -> DataFrame:
     c AS (SELECT *, CASE WHEN kind <> 'text' OR lag(kind) OVER w IS NULL OR lag(kind) OVER w <> kind OR lag(b) OVER w <> b OR lag(i) OVER w <> i THEN 1 ELSE 0 END AS ch FROM r WINDOW w AS (PARTITION BY doc_id, para_idx ORDER BY run_idx)),
     g AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id, para_idx ORDER BY run_idx ROWS UNBOUNDED PRECEDING) AS island FROM c),
     x AS (SELECT doc_id, para_idx, CAST(island AS INTEGER) AS island, any_value(b) AS b, any_value(i) AS i, string_agg(text, '' ORDER BY run_idx) AS t FROM g WHERE kind = 'text' GROUP BY ALL)
-    SELECT doc_id, para_idx, island, concat(s, body, s, substr(t, length(body) + 1)) AS marked FROM (SELECT *, concat(CASE WHEN b THEN '**' ELSE '' END, CASE WHEN i THEN '*' ELSE '' END) AS s, regexp_replace(t, '\\s+$', '') AS body FROM x) WHERE length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) > 0""")
+    SELECT doc_id, para_idx, island, concat(regexp_extract(body, '^#{{1,6}}\\s+'), s, substr(body, length(regexp_extract(body, '^#{{1,6}}\\s+')) + 1), s, substr(t, length(body) + 1)) AS marked FROM (SELECT *, concat(CASE WHEN b THEN '**' ELSE '' END, CASE WHEN i THEN '*' ELSE '' END) AS s, regexp_replace(t, '\\s+$', '') AS body FROM x) WHERE length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) > 0""")
 def run_coalesce_markers(spark: SparkSession, sf: str) -> DataFrame:
     return st.coalesced_runs(runs(spark, sf, "text", "bold", "italic", "kind"), ["doc_id", "para_idx"]).select("doc_id", "para_idx", "island", "marked")
 

@@ -321,3 +321,16 @@ def test_expansion_batches_carry_state(spark):
     cache = spark.createDataFrame([], "key string, response string")
     r = connectors.batched_expansion(d, "Do.", connectors.Rewriter(str.upper), cache).orderBy("para_idx").collect()
     assert [(x["batch"], x["known"], x["rewritten"]) for x in r] == [(0, 0, "THE UN MET."), (0, 0, "A"), (0, 0, "B"), (0, 0, "C"), (1, 1, "ISAS AND UN."), (1, 1, "D")]
+
+
+def test_progress(spark):
+    from proseframe.operators.progress import ProgressLog
+
+    log = ProgressLog()
+    d = log.watch(log.watch(spark.range(10), "read").where("id > 3"), "kept")
+    assert d.count() == 6 and log.lines() == [("read", 10), ("kept", 6)]
+
+
+def test_heading_signs_stay_outside_markers(spark):
+    d = spark.createDataFrame([(1, 0, "text", "## Head ", True, False), (1, 1, "text", "tail", False, True), (2, 0, "text", "#tag", True, True)], "k int, run_idx int, kind string, text string, bold boolean, italic boolean")
+    assert [r["marked"] for r in structure.coalesced_runs(d, ["k"]).orderBy("k", "island").collect()] == ["## **Head** ", "*tail*", "***#tag***"]
