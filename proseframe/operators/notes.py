@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lit_array
-from .ordered import with_number
+from .ordered import with_last_before, with_number
 
 # Months.
 MONTHS = "January February March April May June July August September October November December".split()
@@ -100,8 +100,9 @@ def with_relations(links: DataFrame, existing: DataFrame, doc: str = "doc_id") -
 
 def short_citations(citations: DataFrame, doc: str, order: str, work: str, pages: str) -> DataFrame:
     """Adds form: full for a work's first citation in a document, "Ibid." right after itself on the same pages, "Ibid., p" on others, "op. cit." later on."""
-    w = Window.partitionBy(doc).orderBy(order)
-    seen = F.row_number().over(Window.partitionBy(doc, work).orderBy(order))
-    same = F.lag(work).over(w).eqNullSafe(F.col(work))
-    form = F.when(seen == 1, "full").when(same & F.lag(pages).over(w).eqNullSafe(F.col(pages)), "ibid").when(same, "ibid_page").otherwise("op_cit")
-    return citations.withColumn("form", form)
+    first = citations.groupBy(F.col(doc).alias("__d"), F.col(work).alias("__w")).agg(F.min(order).alias("__first"))
+    c = with_last_before(citations, [doc], order, F.struct(F.col(work).alias("w"), F.col(pages).alias("p")), "__prev")
+    c = c.join(first, F.col(doc).eqNullSafe(F.col("__d")) & F.col(work).eqNullSafe(F.col("__w")))
+    same = F.col("__prev").isNotNull() & F.col("__prev.w").eqNullSafe(F.col(work))
+    form = F.when(F.col(order) == F.col("__first"), "full").when(same & F.col("__prev.p").eqNullSafe(F.col(pages)), "ibid").when(same, "ibid_page").otherwise("op_cit")
+    return c.select(*citations.columns, form.alias("form"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import currency, house, numbers, protect, spelling
@@ -218,12 +218,24 @@ def scientific_context(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), house.in_scientific_context(t, F.instr(t, "5") - 1, F.instr(t, "5")).alias("scientific"))
 
 
+def _styled(text: Column) -> Column:
+    """All deterministic rules, outside protected spans, line by line."""
+    t = protect.outside_protected(text, lambda s: protect.by_line(s, lambda x: numbers.spell_digits(numbers.percent_symbol(numbers.ranges_to_words(spelling.british(x))))))
+    return numbers.sentence_start_numbers(currency.currency_symbols(t))
+
+
 @query()
 def style_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """All deterministic rules over all paragraphs, outside protected spans, line by line."""
+    """All rules over all paragraphs."""
     p = paragraphs(spark, sf, "text", "style", "in_table").where("length(text) > 0")
-    t = protect.outside_protected(F.col("text"), lambda s: protect.by_line(s, lambda x: numbers.spell_digits(numbers.percent_symbol(numbers.ranges_to_words(spelling.british(x))))))
-    return p.select("doc_id", "para_idx", F.when(F.col("in_table"), F.col("text")).otherwise(numbers.sentence_start_numbers(currency.currency_symbols(t))).alias("text"))
+    return p.select("doc_id", "para_idx", F.when(F.col("in_table"), F.col("text")).otherwise(_styled(F.col("text"))).alias("text"))
+
+
+@query(f"""SELECT k, n, concat('The colour of ', {sql_small('n')}, ' harbours rose by ', {sql_small('q')}, ' per cent, "the color of 5%" aside.', chr(10), 'Table 5 | the color of 5% | x', chr(10), 'It cost US$', p, ' in the centre.') AS text FROM {LINE}""")
+def style_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules in one: spelling, percentages, digits and currency change, quotations and table lines don't."""
+    t = F.concat(F.lit("The color of "), "n", F.lit(" harbors rose by "), "q", F.lit('%, "the color of 5%" aside.\nTable 5 | the color of 5% | x\nIt cost usd '), "p", F.lit(" in the center."))
+    return lines(spark, sf).select("k", "n", _styled(t).alias("text"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle
