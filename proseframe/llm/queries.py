@@ -78,12 +78,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_holds(spark: SparkSession, sf: str) -> DataFrame:
-    """What can be said of the mix in SQL: which sources it has, that none is used too often, that shares are tokens over the sum, and that they meet the targets of the sources that occur but for two documents."""
-    mix = p7_mix(spark, sf)
-    largest = mix.groupBy("source").agg(F.max("tokens").alias("largest"))
-    r = mixing.mix_report(mix, _read(spark, sf, "mix_targets")).join(largest, "source", "left")
+    """What can be said of the mix in SQL: which sources occur, that none is used too often, that shares are tokens over the sum, and that they meet the targets of the sources that occur but for two documents."""
+    counts, targets = mixing.token_counts(_read(spark, sf, "documents")), _read(spark, sf, "mix_targets")
+    largest = counts.where("tokens > 0").groupBy("source").agg(F.max("tokens").alias("largest"))
+    r = mixing.mix_report(mixing.mix_sources(counts, targets), targets).join(largest, "source", "left")
     whole = Window.partitionBy()  # as many rows as targets
-    has, all_ = F.col("documents") > 0, F.sum("tokens").over(whole)
+    has, all_ = F.col("largest").isNotNull(), F.sum("tokens").over(whole)
     target = F.col("target_share") / F.sum(F.when(has, F.col("target_share"))).over(whole)
     off = F.abs(F.col("tokens") - target * all_) <= 2 * F.max("largest").over(whole)
     return r.select("source", has.alias("has"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats"), (F.abs(F.col("share") - F.col("tokens") / all_) < 1e-9).alias("adds_up"), F.when(has, off).otherwise(F.col("share") == 0).alias("meets"))
