@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import connectors, mentions as mn, sessions as ss
 from ..sources import dims
-from .base import BATCHES, DOCS, NOTES, PARAS, Registry, batches, documents, lines, notes, paragraphs, runs, spread, table
+from .base import BATCHES, DOCS, NOTES, PARAS, Registry, batches, documents, notes, paragraphs, spread, table
 
 query = Registry()
 WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"

@@ -9,7 +9,7 @@ from ..operators import diff, notes as nt, structure as st
 from ..operators.joins import checked_broadcast
 from ..functions import numbers
 from ..functions import text as tx
-from .base import BATCHES, DOCS, LINE, NOTES, PARAS, RUNS, Registry, batches, documents, lines, notes, paragraphs, runs, table
+from .base import LINE, NOTES, PARAS, RUNS, Registry, lines, notes, paragraphs, runs, table
 
 query = Registry()
 KEY = "regexp_replace(lower(coalesce(style, '')), '\\s+', '', 'g')"
